@@ -7,24 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .decontaminate import decontaminate
+from .media import media_table
+from .mixture import mix_sources
 from .substrings import substring_dedup
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark"), n=10).drop("text")
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), length=13, texts=False)
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
+    return media_table(_table(spark, sf_dir, "documents")).select(made)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": op2_decontaminate,
+        "op3_mix_sources": op3_mix_sources,
+        "op8_web_archive": op8_web_archive,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_media_columns": op10_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontaminate": sql.OP2,
+        "op3_mix_sources": sql.OP3,
+        "op8_web_archive": sql.OP8,
         "op9_substring_dedup": sql.OP9,
     }

@@ -1,5 +1,70 @@
 """The queries again as DuckDB SQL, where SQL can express them."""
 
+OP2 = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark
+), bw AS (
+    SELECT DISTINCT item_id, least(len(ws), 10) AS width, list_aggregate(ws[i:i + least(len(ws), 10) - 1], 'string_agg', ' ') AS win
+    FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM b WHERE len(ws) > 0)
+), widths AS (
+    SELECT DISTINCT width FROM bw
+), dw AS (
+    SELECT doc_id, i, width, list_aggregate(ws[i:i + width - 1], 'string_agg', ' ') AS win
+    FROM (SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM d, widths WHERE len(ws) >= width)
+), hits AS (
+    SELECT doc_id, i, width, item_id FROM dw JOIN bw USING (width, win)
+), words AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM (SELECT DISTINCT doc_id, i, width FROM hits)) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP3 = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           coalesce('s' || source, 't') AS key, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS salt
+    FROM documents
+), s AS (
+    SELECT key, source_size, w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total
+    FROM (SELECT key, sum(size)::BIGINT AS source_size, ([3, 1, 2])[((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY key)
+), ranked AS (
+    SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+           sum(w) OVER (ORDER BY cap / w, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s
+), levels AS (
+    SELECT *, CASE WHEN (total - full_) * w < cap * rest THEN (total - full_) / rest END AS lv FROM ranked
+), t AS (
+    SELECT key, source_size, CASE WHEN lv IS NULL THEN cap ELSE (SELECT arg_min(lv, cap / w) FROM levels WHERE lv IS NOT NULL) * w END AS target FROM levels
+), placed AS (
+    SELECT doc_id, source, key, size,
+           row_number() OVER (PARTITION BY key ORDER BY CASE WHEN size < 16 THEN size ELSE len(bin(size)) * 16 + (size >> (len(bin(size)) - 5)::INT) - 16 END, salt, size, doc_id) - 1 AS pos
+    FROM d
+), rated AS (
+    SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+           ('0x' || substr(md5('mix:' || key), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+    FROM placed p JOIN t USING (key)
+)
+SELECT doc_id, size, source_size, target, ((floor((pos + 1)::DOUBLE * rate + u) - floor(pos::DOUBLE * rate + u)) * size)::BIGINT AS taken FROM rated
+"""
+
+OP8 = r"""
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+    SELECT payload_digest, min(page_id) AS low FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN low < page_id THEN low END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
 OP9 = r"""
 WITH w AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -11,10 +76,11 @@ WITH w AS (
 ), gone AS (
     SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
     FROM starts JOIN firsts USING (win) WHERE low < doc_id
-), dead AS (
-    SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), every AS (
+    SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM every ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
 )
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
-       sha256(coalesce(array_to_string(list_filter(ws, (x, i) -> ps IS NULL OR NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
-FROM w LEFT JOIN dead USING (doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
 """
