@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

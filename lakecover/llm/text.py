@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _K = np.uint64(0xD6E8FEB86659FD93)
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
@@ -34,7 +35,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, BLOCK_BYTES + 1)
         inverse = np.uint64(pow(int(_R), -1, 1 << 64))
         for k, base in enumerate((_R, inverse)):
             steps = np.full(size, base, np.uint64)
@@ -112,12 +113,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of the bytes of each word."""
-        n = len(self.data)
-        power, inverse = _power_tables(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _K)
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):  # by blocks of words, so that the 64-bit temporaries stay small
+            base = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, base + BLOCK_BYTES, "right")))
+            block = self.data[base : self.end[to - 1]]
+            power, inverse = _power_tables(len(block) + 1)
+            total = np.zeros(len(block) + 1, np.uint64)
+            np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[: len(block)], out=total[1:])
+            start, end = self.start[at:to] - base, self.end[at:to] - base
+            out[at:to] = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _K)
+            at = to
+        return out
 
     def left(self) -> np.ndarray:
         """How many words of its row there are from each word on, itself included."""
