@@ -111,8 +111,9 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of the bytes of each word."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of the bytes of each word, or of its first ``most`` bytes."""
+        stop = self.end if most is None else np.minimum(self.end, self.start + most)
         out = np.empty(len(self.start), np.uint64)
         at = 0
         while at < len(out):  # by blocks of words, so that the 64-bit temporaries stay small
@@ -122,7 +123,7 @@ class Words:
             power, inverse = _power_tables(len(block) + 1)
             total = np.zeros(len(block) + 1, np.uint64)
             np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[: len(block)], out=total[1:])
-            start, end = self.start[at:to] - base, self.end[at:to] - base
+            start, end = self.start[at:to] - base, stop[at:to] - base
             out[at:to] = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _K)
             at = to
         return out
