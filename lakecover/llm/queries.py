@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .decontaminate import decontaminate
+from .jaccard import ngram_jaccard_join
 from .media import media_table
 from .mixture import mix_sources
 from .substrings import substring_dedup
+from .toxicity import fit_toxicity, held_out, toxicity
 from .warc import archive_pages
 
 
@@ -28,6 +31,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"))
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), usable=~out)
+    return toxicity(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op8_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -45,6 +59,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op3_mix_sources": op3_mix_sources,
+        "op5_toxicity": op5_toxicity,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_web_archive": op8_web_archive,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_media_columns": op10_media_columns,
