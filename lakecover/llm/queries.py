@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .decontaminate import decontaminate
 from .jaccard import ngram_jaccard_join
+from .lines import line_dedup
 from .media import media_table
 from .mixture import mix_sources
 from .substrings import substring_dedup
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, min_lines=2, long_line=200).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, _table(spark, sf_dir, "benchmark"), n=10).drop("text")
@@ -57,6 +63,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_decontaminate": op2_decontaminate,
         "op3_mix_sources": op3_mix_sources,
         "op5_toxicity": op5_toxicity,
@@ -69,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": sql.OP1,
         "op2_decontaminate": sql.OP2,
         "op3_mix_sources": sql.OP3,
         "op8_web_archive": sql.OP8,

@@ -84,3 +84,24 @@ WITH w AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+OP1 = r"""
+WITH l AS (
+    SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), x AS (
+    SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l
+), runs AS (
+    SELECT doc_id, i, 1 AS h, line AS run, length(line) >= 200 AS fit FROM x
+    UNION ALL
+    SELECT a.doc_id, a.i, 2, a.line || chr(10) || b.line, true FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+), firsts AS (
+    SELECT h, run, min((doc_id, i)) AS first FROM runs GROUP BY h, run
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + h)) AS i FROM runs JOIN firsts USING (h, run) WHERE fit AND first < (doc_id, i)
+), kept AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT l.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(CASE WHEN len(ls) = coalesce(n, 0) THEN l.text ELSE kept.text END, '')) AS kept_sha256
+FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id
+"""
