@@ -13,6 +13,7 @@ from .jaccard import ngram_jaccard_join
 from .lines import line_dedup
 from .media import media_table
 from .mixture import mix_sources
+from .quality import quality_scores
 from .substrings import substring_dedup
 from .toxicity import fit_toxicity, held_out, toxicity
 from .warc import archive_pages
@@ -37,6 +38,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_scores(docs, _table(spark, sf_dir, "labels")).drop("version")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out(F.col("doc_id"))
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_decontaminate": op2_decontaminate,
         "op3_mix_sources": op3_mix_sources,
+        "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_web_archive": op8_web_archive,
