@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .exchange import shared_folder
 
 ARCHIVE_BYTES = 8 << 20
+BITE_BYTES = 1 << 12
 LEAST_BYTES = 100
 START = datetime(2020, 1, 1, tzinfo=UTC)
 RECORDS = "urlkey string, ts string, page_id long, record_type string, refers_to long, header_digest string, payload_bytes long, payload_digest string, archive string, offset long, length long"
@@ -63,9 +64,14 @@ def records_in(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
     """(offset, length, headers, payload) of each record of an archive file."""
     at, view = 0, memoryview(archive)
     while at < len(archive):
-        unpacker = zlib.decompressobj(wbits=31)
-        data = unpacker.decompress(view[at:])
-        length = len(archive) - at - len(unpacker.unused_data)
+        unpacker, pieces, fed = zlib.decompressobj(wbits=31), [], at
+        while not unpacker.eof:  # in small bites: what lies behind the record is copied each time
+            bite = view[fed : fed + BITE_BYTES]
+            if not bite:
+                raise ValueError(f"cut record at {at}")
+            pieces.append(unpacker.decompress(bite))
+            fed += len(bite)
+        data, length = b"".join(pieces), fed - at - len(unpacker.unused_data)
         head, _, rest = data.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines)
