@@ -35,9 +35,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+UNKNOWN_BYTES = 1 << 50  # Catalyst's estimates beyond this are no estimates
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``, made without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of ``df``, made without a job; where it has none, the bytes of its texts and ids."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < UNKNOWN_BYTES:
+        return size
+    return int(df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0)
 
 
 def part_count(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
