@@ -10,16 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import connected_components, written
+from .exchange import BLOB, blob_table, connected_components, estimated_bytes, pack_shards, part_count, written
 from .text import SPACE_SEPARATORS, Words, buffers, chunks, mix, windows
 
-BUCKETS = 1 << 20  # counters of how common n-grams are; their number is fixed, so is what is broadcast
-SLICES, LANES = 256, 64
 BLOCK_GRAMS = 1 << 21  # n-grams that one task of the tree join holds at once, about
-_HASH = np.uint64((1 << 56) - 1)
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+def _sets(batch: pa.RecordBatch | pa.Table, n: int) -> Iterator[np.ndarray]:
     """The distinct n-gram hashes of each row, sorted; fewer than n words are one gram."""
     data, offsets = buffers(batch["text"])
     for i, j in chunks(offsets):
@@ -33,42 +30,30 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
                 yield windows(hashes[first : first + count], int(count)) if count else np.zeros(0, np.uint64)
 
 
-def _ordered(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The grams as keys in global order: rare levels first, then by hash."""
-    keys = (level[grams >> np.uint64(44)].astype(np.uint64) << np.uint64(56)) | (grams & _HASH)
-    keys.sort()
-    return keys
+def _key_bits(docs: DataFrame) -> int:
+    """Bits of a gram that parts compare: nine more than it takes to count the grams, so that few differ but seem equal."""
+    return min(64, max(32, int(np.log2(max(2, estimated_bytes(docs)))) + 8))
 
 
-def gram_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """How common grams are, on a scale of a quarter doubling, for each of a fixed number of hash buckets; over all documents."""
+def _packed(keys: np.ndarray, bits: int) -> bytes:
+    """Ascending keys as differences, byte plane by byte plane: the empty high planes vanish in Spark's compression."""
+    steps = np.diff(keys >> np.uint64(64 - bits), prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lane = np.zeros(BUCKETS, np.uint32), 0
-        for batch in batches:
-            for grams in _sets(batch, n):
-                np.add.at(total, (grams >> np.uint64(44)).astype(np.int64), np.uint32(1))
-                if len(grams):
-                    lane = int(grams[0] % np.uint64(LANES))
-        if total.any():
-            pieces = [x.tobytes() for x in np.split(total, SLICES)]
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "lane": pa.array([lane] * SLICES, pa.int32()), "counts": pa.array(pieces, pa.binary())})
-
-    def add(kind: type) -> callable:
-        def added(table: pa.Table) -> pa.Table:
-            total = np.zeros(BUCKETS // SLICES, np.uint64)
-            for blob in table["counts"].to_pylist():
-                total += np.frombuffer(blob, kind)
-            return pa.table({"slice": table["slice"][:1], "lane": table["lane"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-        return added
-
-    schema = "slice int, lane int, counts binary"
-    lanes = docs.select("text").mapInArrow(count, schema).groupBy("slice", "lane").applyInArrow(add(np.uint32), schema)
-    total = np.zeros((SLICES, BUCKETS // SLICES), np.uint64)
-    for row in lanes.groupBy("slice").applyInArrow(add(np.uint64), schema).select("slice", "counts").collect():
-        total[row[0]] = np.frombuffer(row[1], np.uint64)
-    return np.minimum(np.round(4 * np.log2(total.ravel().astype(float) + 1)), 255).astype(np.uint8)
+
+def _frequency_levels(table: pa.Table) -> pa.Table:
+    """For each part's keys of this shard in how many parts they occur, on a scale of a quarter doubling (0: in this alone)."""
+    parts = table["part"].to_pylist()
+    keys = [_unpacked(b) for b in table["blob"].to_pylist()]
+    _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    level = np.minimum(np.round(4 * np.log2(count)), 255).astype(np.uint8)[inverse]
+    ends = np.cumsum([len(k) for k in keys])
+    return blob_table([(p, table["shard"][0].as_py(), level[e - len(k) : e].tobytes()) for p, k, e in zip(parts, keys, ends, strict=True)], ("part", "shard"))
 
 
 def _prefix(size: int, percent: int) -> int:
@@ -190,8 +175,9 @@ def _size_step(n: np.ndarray) -> np.ndarray:
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Components of the documents linked by a Jaccard similarity of ``percent`` or more between their n-gram sets.
 
-    1. All n-grams are counted in a fixed number of hash buckets. The counts give one global
-       order, rare grams first, in which every set is sorted.
+    1. Parts of the documents ask a sharded index in how many parts each of their distinct grams
+       occurs. This frequency, then the hash, is the global order of grams: rare ones first. A
+       document of whose grams fewer than ``percent`` occur in any other has no partner and is out.
     2. Documents with equal sets become one class with its smallest id.
     3. Classes that share a gram within the first ``n - ceil(percent n) + 1`` of both may be
        similar (no other pair can be). Shared grams give star-shaped candidate links, whose
@@ -210,23 +196,45 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    level = spark.sparkContext.broadcast(gram_levels(docs, n))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, digest, prefix = [], [], []
-            for grams in _sets(batch, n):
-                keys = _ordered(grams, level.value)
-                size.append(len(keys))
-                digest.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest() if len(keys) else None)
-                prefix.append(keys[: _prefix(len(keys), percent)].tobytes() if len(keys) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix": pa.array(prefix, pa.binary())})
-
-    signed = written(docs.mapInArrow(sign, "doc_id long, n long, digest binary, prefix binary"))
+    count, bits = part_count(docs), _key_bits(docs)
+    parts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")).select("part", "doc_id", "text").repartition(count, "part")
+
+    def distinct(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        sets = list(_sets(table, n))
+        grams, df = np.unique(np.concatenate(sets), return_counts=True)
+        # Grams that agree in the compared bits are one key.
+        return sets, grams, df
+
+    def ask(table: pa.Table) -> pa.Table:
+        _, grams, _ = distinct(table)
+        return blob_table([(s, table["part"][0].as_py(), _packed(grams[i:j], bits)) for s, i, j in pack_shards(grams, count)])
+
+    def sign(table: pa.Table, answers: pa.Table) -> pa.Table:
+        size, digest, prefix = [], [], []
+        if table.num_rows:
+            sets, grams, df = distinct(table)
+            level = np.zeros(len(grams), np.uint8)
+            told = dict(zip(answers["shard"].to_pylist(), answers["blob"].to_pylist(), strict=True))
+            for s, i, j in pack_shards(grams, count):
+                level[i:j] = np.frombuffer(told[s], np.uint8)
+            for own in sets:
+                at = np.searchsorted(grams, own)
+                size.append(len(own))
+                digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                shared = np.count_nonzero((level[at] > 0) | (df[at] > 1))
+                if len(own) and 100 * shared >= percent * len(own):
+                    order = np.lexsort((own, level[at]))
+                    prefix.append(own[order][: _prefix(len(own), percent)].tobytes())
+                else:
+                    prefix.append(None)
+        return pa.table({"doc_id": table["doc_id"], "n": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix": pa.array(prefix, pa.binary())})
+
+    levels = parts.groupBy("part").applyInArrow(ask, BLOB).groupBy("shard").applyInArrow(_frequency_levels, "part int, shard int, blob binary")
+    signed = written(parts.groupBy("part").cogroup(levels.groupBy("part")).applyInArrow(sign, "doc_id long, n long, digest binary, prefix binary"))
     known = signed.where("n > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    chosen = known.join(classes.select("digest", F.col("node").alias("doc_id"), "copies"), ["digest", "doc_id"])
+    chosen = known.where("prefix is not null").join(classes.select("digest", F.col("node").alias("doc_id"), "copies"), ["digest", "doc_id"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
