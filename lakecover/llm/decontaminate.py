@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import ALNUM_SEPARATORS, Words, buffers, chunks, covered, row_sums, windows
 
@@ -150,8 +151,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
             yield pa.RecordBatch.from_pydict(out)
 
     ddl = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * clean
-    result = kept.schema
-    for f in spark.createDataFrame([], ddl).schema:
-        result = result.add(f)
-    return scanned.mapInArrow(finish, result)
+    return scanned.mapInArrow(finish, T.StructType([*kept.schema.fields, *spark.createDataFrame([], ddl).schema.fields]))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .exchange import written
 from .text import buffers, chunks, row_sums
@@ -265,7 +266,7 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.9
             n_bytes, log_p = _log_p(lookup.value, batch["_text"])
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in names} | {"n_bytes_": n_bytes, "log_p_": log_p})
 
-    scored = kept.mapInArrow(score, docs.schema.add("n_bytes_", "long").add("log_p_", "double"))
+    scored = kept.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("n_bytes_", T.LongType()), T.StructField("log_p_", T.DoubleType())]))
     packed = scored.select(F.struct(*names).alias("_row"), F.col("lang").cast("string").alias("lang"), F.col("n_bytes_").alias("n_bytes"), F.col("log_p_").alias("log_p"))
     packed = packed.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
     return _judged(packed, limits).where("accepted").select("_row.*")
