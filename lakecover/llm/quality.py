@@ -218,7 +218,7 @@ def _judged(scores: DataFrame, limits: tuple[DataFrame, DataFrame, DataFrame, Da
 def _fit(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, model_rows: int) -> tuple[DataFrame, DataFrame, tuple]:
     rows = _rows(docs)
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = written(kneser_ney(count_grams(rows.join(trusted, "doc_id", "left_semi"))))
+    model = written(kneser_ney(count_grams(rows.join(trusted.hint("merge"), "doc_id", "left_semi"))))
     scores = written(_scores(rows, model, model_rows))
     known = scores.where("n_bytes > 0").join(trusted, "doc_id", "left_semi")
     middle = tuple(written(x) for x in _quantiles(known, "perplexity", 0.5))
