@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .decontaminate import decontaminate
 from .jaccard import ngram_jaccard_join
+from .licenses import license_scan, notices
 from .lines import line_dedup
 from .media import media_table
 from .mixture import mix_sources
@@ -54,6 +55,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs, notices(spark)).drop("text")
+
+
 def op8_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_license_scan": op7_license_scan,
         "op8_web_archive": op8_web_archive,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_media_columns": op10_media_columns,
