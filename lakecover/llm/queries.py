@@ -93,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": sql.OP1,
         "op2_decontaminate": sql.OP2,
         "op3_mix_sources": sql.OP3,
+        "op6_ngram_jaccard": sql.OP6,
         "op8_web_archive": sql.OP8,
         "op9_substring_dedup": sql.OP9,
     }

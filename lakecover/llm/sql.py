@@ -54,6 +54,32 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, ((floor((pos + 1)::DOUBLE * rate + u) - floor(pos::DOUBLE * rate + u)) * size)::BIGINT AS taken FROM rated
 """
 
+OP6 = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), half AS (
+    SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), links AS (
+    SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+), reach(node, low) AS (
+    SELECT DISTINCT a, a FROM links
+    UNION
+    SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node
+), component AS (
+    SELECT node, min(low) AS low FROM reach GROUP BY node
+), degree AS (
+    SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(low, doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN degree ON a = doc_id LEFT JOIN component ON node = doc_id
+"""
+
 OP8 = r"""
 WITH p AS (
     SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
