@@ -1,8 +1 @@
 """Operators for large training-text pipelines; nothing outside this package imports it."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions sent to executors travel by value, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,31 +8,18 @@ hot key reaches a shard more often than there are parts.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PART_BYTES = 6 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/lakecover-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lakecover/{uuid.uuid4().hex}"
+from ..operators.checkpoints import shared_folder, written
+from ..operators.graph import connected_components
 
+__all__ = ["BLOB", "blob_table", "connected_components", "estimated_bytes", "pack_shards", "part_count", "shared_folder", "written"]
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: short lineage that outlives lost executors."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+PART_BYTES = 6 << 20
 
 
 UNKNOWN_BYTES = 1 << 50  # Catalyst's estimates beyond this are no estimates
@@ -59,44 +46,6 @@ def pack_shards(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     return [(int(shard[i]), int(i), int(j)) for i, j in zip(at, [*at[1:], len(keys)], strict=True)] if len(keys) else []
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for each endpoint of ``edges(a, b)``; component is the smallest node reachable.
-
-    Each round takes, for each node, the smallest label among its neighbours, hooks
-    labels to smaller labels and halves label chains; only sums and minima cross the
-    shuffle, so a node with very many links costs no task more than its share. The
-    rounds needed grow with the logarithm of the longest chain. Null endpoints have
-    no link; an empty table gives an empty table.
-    """
-    edges = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.withColumnsRenamed({"node": "b", "label": "seen"}), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
-        )
-        hooked = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("new"))
-        # A label's own node learns the smallest label found by any of its members.
-        roots = hooked.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("low"))
-        jumped = (
-            hooked.join(roots.withColumnsRenamed({"root": "label"}), "label")
-            .select("node", F.col("label").alias("old"), F.least("new", "low").alias("mid"))
-        )
-        after = (
-            jumped.join(roots.select(F.col("root").alias("mid"), F.col("low").alias("further")), "mid", "left")
-            .select("node", F.least("mid", F.coalesce("further", "mid")).alias("label"), "old")
-        )
-        after = written(after)
-        changed = after.where("label < old").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    return labels.select("node", F.col("label").alias("component"))
-
-
 BLOB = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType()),
 ])
