@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .exchange import bounded_batches
 from .text import ALNUM_SEPARATORS, Words, buffers, chunks, covered, row_sums, windows
 
 BLOCK_BYTES = 32 << 20
@@ -92,6 +93,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
     kept = docs.drop(*made)
     names = kept.columns
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (block_bytes // 2)))

@@ -10,16 +10,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.checkpoints import shared_folder, written
 from ..operators.graph import connected_components
 
-__all__ = ["BLOB", "blob_table", "connected_components", "estimated_bytes", "pack_shards", "part_count", "shared_folder", "written"]
+__all__ = ["BLOB", "blob_table", "bounded_batches", "connected_components", "estimated_bytes", "pack_shards", "part_count", "shared_folder", "written"]
 
 PART_BYTES = 6 << 20
+BATCH_BYTES, BATCH_ROWS = "8m", "2000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB and 2,000 rows: what a Python worker holds of the texts at once, in and out."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 UNKNOWN_BYTES = 1 << 50  # Catalyst's estimates beyond this are no estimates

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOB, blob_table, connected_components, estimated_bytes, pack_shards, part_count, written
+from .exchange import BLOB, blob_table, bounded_batches, connected_components, estimated_bytes, pack_shards, part_count, written
 from .text import SPACE_SEPARATORS, Words, buffers, chunks, mix, windows
 
 BLOCK_GRAMS = 1 << 21  # n-grams that one task of the tree join holds at once, about
@@ -195,6 +195,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     counted. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     count, bits = part_count(docs), _key_bits(docs)

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import written
+from .exchange import bounded_batches, written
 from .text import buffers, chunks, row_sums
 
 ORDER = 5  # bytes
 MODEL_ROWS = 4 << 20  # a model of more rows is joined shard by shard and not broadcast
 PRIOR_BYTES = 32
-HELD_ROWS = 1 << 21  # distinct grams that a counting task holds before it passes them on
+HELD_ROWS = 1 << 20  # distinct grams that a counting task holds before it passes them on
 MODEL = "level int, gram long, log_p double, log_rest double"
 
 
@@ -216,6 +216,7 @@ def _judged(scores: DataFrame, limits: tuple[DataFrame, DataFrame, DataFrame, Da
 
 
 def _fit(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, model_rows: int) -> tuple[DataFrame, DataFrame, tuple]:
+    bounded_batches(docs.sparkSession)
     rows = _rows(docs)
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     model = written(kneser_ney(count_grams(rows.join(trusted.hint("merge"), "doc_id", "left_semi"))))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 18
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _K = np.uint64(0xD6E8FEB86659FD93)
