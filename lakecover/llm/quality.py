@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,7 @@ from .text import buffers, chunks, row_sums
 ORDER = 5  # bytes
 MODEL_ROWS = 4 << 20  # a model of more rows is joined shard by shard and not broadcast
 PRIOR_BYTES = 32
+FOLDS = 2  # by hash of the text; a document is scored by the model of the trusted text of all other folds
 HELD_ROWS = 1 << 20  # distinct grams that a counting task holds before it passes them on
 MODEL = "level int, gram long, log_p double, log_rest double"
 
@@ -136,8 +139,24 @@ class _Lookup:
         return out
 
 
-def _log_p(lookup: _Lookup, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and log-probability of each text; each distinct gram of a run of texts is looked up once."""
+def _lookups(model: DataFrame) -> list[_Lookup]:
+    """The models of the folds."""
+    table = model.toArrow()
+    return [_Lookup(table.filter(pc.equal(table["fold"], f))) for f in range(FOLDS)]
+
+
+def _log_p(lookups: list[_Lookup], texts: pa.Array, folds: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and log-probability of each text under the model of its fold."""
+    n_bytes, log_p = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    fold = folds.to_numpy(zero_copy_only=False)
+    for f, lookup in enumerate(lookups):
+        own = np.flatnonzero(fold == f)
+        n_bytes[own], log_p[own] = _log_p_by(lookup, texts.take(pa.array(own)))
+    return n_bytes, log_p
+
+
+def _log_p_by(lookup: _Lookup, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same under one model; each distinct gram of a run of texts is looked up once."""
     data, offsets = buffers(texts)
     sums = [np.zeros(0)]
     for i, j in chunks(offsets, 1 << 20):
@@ -148,11 +167,11 @@ def _log_p(lookup: _Lookup, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _broadcast_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
-    lookup = rows.sparkSession.sparkContext.broadcast(_Lookup(model.toArrow()))
+    lookup = rows.sparkSession.sparkContext.broadcast(_lookups(model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, log_p = _log_p(lookup.value, batch["text"])
+            n_bytes, log_p = _log_p(lookup.value, batch["text"], batch["fold"])
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("doc_id", "lang", "version")} | {"n_bytes": n_bytes, "log_p": log_p})
 
     return rows.mapInArrow(score, "doc_id long, lang string, version long, n_bytes long, log_p double")
@@ -166,16 +185,16 @@ def _joined_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
             data, offsets = buffers(batch["text"])
             for n in range(batch.num_rows):
                 grams, c = np.unique(_grams(data[offsets[n] : offsets[n + 1]], np.array([0, offsets[n + 1] - offsets[n]])), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.repeat(batch["doc_id"][n], len(grams)), "version": pa.repeat(batch["version"][n], len(grams)), "gram": grams, "c": c})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.repeat(batch["doc_id"][n], len(grams)), "version": pa.repeat(batch["version"][n], len(grams)), "_fold": pa.repeat(batch["fold"][n], len(grams)), "gram": grams, "c": c})
 
     model = written(model)
-    once = rows.select("doc_id", "version", "text").dropDuplicates(["doc_id", "version"])
-    open_ = once.mapInArrow(explode, "doc_id long, version long, gram long, c long").withColumns({"found": F.lit(None).cast("double"), "rest": F.lit(0.0)})
+    once = rows.select("doc_id", "version", "fold", "text").dropDuplicates(["doc_id", "version"])
+    open_ = once.mapInArrow(explode, "doc_id long, version long, _fold int, gram long, c long").withColumns({"found": F.lit(None).cast("double"), "rest": F.lit(0.0)})
     for k in range(ORDER, 0, -1):
-        at = lambda level, name: model.where(F.col("level") == level).select(F.col("gram").alias("_key"), F.col(name).alias("_value"))
-        open_ = open_.withColumn("_key", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(at(k, "log_p"), "_key", "left")
+        at = lambda level, name: model.where(F.col("level") == level).select(F.col("fold").alias("_fold"), F.col("gram").alias("_key"), F.col(name).alias("_value"))
+        open_ = open_.withColumn("_key", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(at(k, "log_p"), ["_fold", "_key"], "left")
         open_ = open_.withColumn("found", F.coalesce("found", F.col("rest") + F.col("_value"))).drop("_key", "_value")
-        open_ = open_.withColumn("_key", F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)), 8)).join(at(k - 1, "log_rest"), "_key", "left")
+        open_ = open_.withColumn("_key", F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)), 8)).join(at(k - 1, "log_rest"), ["_fold", "_key"], "left")
         open_ = open_.withColumn("rest", F.col("rest") + F.coalesce("_value", F.lit(0.0))).drop("_key", "_value")
     sums = open_.groupBy("doc_id", "version").agg(F.sum(F.col("c") * F.coalesce("found", F.col("rest") + F.log(F.lit(1 / 256)))).alias("log_p"))
     named = rows.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
@@ -183,8 +202,13 @@ def _joined_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
     return joined.select(F.col("_d").alias("doc_id"), "lang", F.col("_v").alias("version"), "n_bytes", F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
 
 
+def _fold(text: Column) -> Column:
+    """Exact copies share a fold, so that no model that judges a text has counted it."""
+    return F.pmod(F.coalesce(F.xxhash64(text), F.lit(0)), F.lit(FOLDS)).cast("int")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("version"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("version"), _fold(F.col("text").cast("string")).alias("fold"))
 
 
 def _scores(rows: DataFrame, model: DataFrame, model_rows: int) -> DataFrame:
@@ -215,26 +239,30 @@ def _judged(scores: DataFrame, limits: tuple[DataFrame, DataFrame, DataFrame, Da
     return judged
 
 
-def _fit(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, model_rows: int) -> tuple[DataFrame, DataFrame, tuple]:
+def _fit(docs: DataFrame, labels: DataFrame, quantile: float, model_rows: int) -> tuple[DataFrame, DataFrame, tuple]:
     bounded_batches(docs.sparkSession)
     rows = _rows(docs)
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = written(kneser_ney(count_grams(rows.join(trusted.hint("merge"), "doc_id", "left_semi"))))
+    texts = written(rows.join(trusted.hint("merge"), "doc_id", "left_semi").select("fold", "text"))
+    models = [written(kneser_ney(count_grams(texts.where(F.col("fold") != f)))).withColumn("fold", F.lit(f)) for f in range(FOLDS)]
+    model = reduce(DataFrame.unionByName, models)
     scores = written(_scores(rows, model, model_rows))
     known = scores.where("n_bytes > 0").join(trusted, "doc_id", "left_semi")
     middle = tuple(written(x) for x in _quantiles(known, "perplexity", 0.5))
-    own, every = _quantiles(_judged(known, middle), "adjusted", quantile)
-    top = written(own.withColumn("_own", F.col("_own") * slack)), written(every.withColumn("_all", F.col("_all") * slack))
+    top = tuple(written(x) for x in _quantiles(_judged(known, middle), "adjusted", quantile))
     return model, scores, (*middle, *top)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, model_rows: int = MODEL_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, model_rows: int = MODEL_ROWS) -> DataFrame:
     """Perplexity of each document and whether it is accepted.
 
-    The model is trained on all text that ``labels(doc_id, quality)`` trusts (quality 1). Grams of
-    bytes make it independent of word forms. A document's perplexity is per byte; ``adjusted`` is
+    The models are trained on all text that ``labels(doc_id, quality)`` trusts (quality 1): texts
+    fall into folds by their hash, and each, trusted or not, is scored by the model of the other
+    folds' trusted text. So trusted texts get the perplexities that others like them would. (Near
+    copies may lie in different folds.) Where the other folds hold no trusted text, all bytes are
+    alike. Grams of bytes make a model independent of word forms. A document's perplexity is per byte; ``adjusted`` is
     the same with a prior of 32 bytes at the language's median, so that a few odd bytes don't
-    condemn a tiny text. A language's threshold is ``slack`` times the ``quantile`` of the adjusted
+    condemn a tiny text. A language's threshold is the ``quantile`` of the adjusted
     perplexities of its trusted documents; a language without any takes that of all languages.
 
     ``docs(doc_id, text, lang)``; returns (doc_id, version, lang, n_bytes, perplexity, adjusted,
@@ -243,28 +271,28 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, s
     language of its own. Several labels of an id count as the largest. Without any trusted text
     all documents are accepted. An empty table gives an empty one.
     """
-    _, scores, limits = _fit(docs, labels, quantile, slack, model_rows)
+    _, scores, limits = _fit(docs, labels, quantile, model_rows)
     return _judged(scores, limits).drop("log_p")
 
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.3, model_rows: int = MODEL_ROWS) -> DataFrame:
+def accepted_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, model_rows: int = MODEL_ROWS) -> DataFrame:
     """The rows of ``docs`` that ``quality_scores`` accepts, unchanged.
 
     With a broadcast model the documents are scored a second time where they are read, which
     spares a shuffle of all texts.
     """
-    model, scores, limits = _fit(docs, labels, quantile, slack, model_rows)
+    model, scores, limits = _fit(docs, labels, quantile, model_rows)
     if model.count() > model_rows:
         bad = _judged(scores, limits).where("not accepted").select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct()
         version = F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
         return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (version == F.col("_v")), "left_anti")
-    lookup = docs.sparkSession.sparkContext.broadcast(_Lookup(model.toArrow()))
+    lookup = docs.sparkSession.sparkContext.broadcast(_lookups(model))
     names = docs.columns
-    kept = docs.withColumn("_text", F.col("text").cast("string"))
+    kept = docs.withColumn("_text", F.col("text").cast("string")).withColumn("_fold", _fold(F.col("_text")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, log_p = _log_p(lookup.value, batch["_text"])
+            n_bytes, log_p = _log_p(lookup.value, batch["_text"], batch["_fold"])
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in names} | {"n_bytes_": n_bytes, "log_p_": log_p})
 
     scored = kept.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("n_bytes_", T.LongType()), T.StructField("log_p_", T.DoubleType())]))
