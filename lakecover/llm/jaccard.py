@@ -169,7 +169,27 @@ def similar_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, n
 
 
 def _size_step(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.05)).astype(np.uint8)
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.05)).astype(np.uint16)
+
+
+def _stars(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) from the first of the nodes that share a key, and whose sizes allow the similarity, to the others."""
+    keys, nodes, steps = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in (("keys", np.uint64), ("nodes", np.int64), ("steps", np.uint16)))
+    by = np.argsort(keys)
+    same = keys[by][1:] == keys[by][:-1]
+    common = np.zeros(len(keys), bool)
+    common[1:] |= same
+    common[:-1] |= same
+    by = by[common]
+    keys, nodes, steps = keys[by], nodes[by], steps[by].astype(np.int16)
+    by = np.lexsort((nodes, steps, keys))
+    keys, nodes, steps = keys[by], nodes[by], steps[by]
+    # Sizes that differ by more than the similarity allows begin a new star.
+    head = np.ones(len(keys), bool)
+    head[1:] = (keys[1:] != keys[:-1]) | (np.diff(steps) > np.ceil(np.log(100 / percent) / np.log(1.05)) + 1)
+    centre = nodes[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(keys) else nodes
+    pairs = np.unique(np.stack([centre, nodes], 1)[centre != nodes], axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -253,22 +273,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             })
 
     def stars(table: pa.Table) -> pa.Table:
-        keys, nodes, steps = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in (("keys", np.uint64), ("nodes", np.int64), ("steps", np.uint8)))
-        by = np.argsort(keys)
-        same = keys[by][1:] == keys[by][:-1]
-        common = np.zeros(len(keys), bool)
-        common[1:] |= same
-        common[:-1] |= same
-        by = by[common]
-        keys, nodes, steps = keys[by], nodes[by], steps[by].astype(np.int16)
-        by = np.lexsort((nodes, steps, keys))
-        keys, nodes, steps = keys[by], nodes[by], steps[by]
-        # Sizes that differ by more than the similarity allows begin a new star.
-        head = np.ones(len(keys), bool)
-        head[1:] = (keys[1:] != keys[:-1]) | (np.diff(steps) > np.ceil(np.log(100 / percent) / np.log(1.05)) + 1)
-        centre = nodes[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(keys) else nodes
-        pairs = np.unique(np.stack([centre, nodes], 1)[centre != nodes], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return _stars(table, percent)
 
     candidates = chosen.select("doc_id", "n", "prefix").mapInArrow(deal, "shard int, keys binary, nodes binary, steps binary").groupBy("shard").applyInArrow(stars, "a long, b long")
     blocks = connected_components(candidates)
