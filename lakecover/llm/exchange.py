@@ -8,8 +8,12 @@ hot key reaches a shard more often than there are parts.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,33 +21,63 @@ from pyspark.sql import types as T
 from ..operators.checkpoints import shared_folder, written
 from ..operators.graph import connected_components
 
-__all__ = ["BLOB", "blob_table", "bounded_batches", "connected_components", "estimated_bytes", "pack_shards", "part_count", "shared_folder", "written"]
+__all__ = ["BLOB", "blob_table", "bounded_batches", "connected_components", "open_shared", "pack_shards", "part_count", "private", "shared_folder", "text_bytes", "write_shared", "written"]
 
-PART_BYTES = 6 << 20
-BATCH_BYTES, BATCH_ROWS = "8m", "2000"
+PART_BYTES = 12 << 20  # of text
+BATCH_BYTES, BATCH_ROWS = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB and 2,000 rows: what a Python worker holds of the texts at once, in and out."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Arrow batches of at most 8 MB and 2,000 rows: what a Python worker holds of the texts at once, in and out.
+
+    Plans read these settings when they run, so they stay; a value that the session was given
+    itself is left alone. No result depends on them.
+    """
+    given = spark._jsparkSession.sessionState().conf()
+    for key, value in ((BATCH_BYTES, "8m"), (BATCH_ROWS, "2000")):
+        if not given.contains(key):
+            spark.conf.set(key, value)
+
+
+def private(columns: Iterable[str], *names: str) -> list[str]:
+    """For each name one like it that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}") in taken:
+            pass
+        out.append(name)
+    return out
+
+
+def _location(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder)
+
+
+def write_shared(folder: str, name: str, body: bytes) -> None:
+    """Write a file of the shared folder at once: under a name of its own first, so that no reader sees half of it."""
+    files, path = _location(folder)
+    files.create_dir(path, recursive=True)
+    draft = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with files.open_output_stream(draft, compression=None) as out:
+        out.write(body)
+    files.move(draft, f"{path}/{name}")
 
 
-UNKNOWN_BYTES = 1 << 50  # Catalyst's estimates beyond this are no estimates
+def open_shared(folder: str, name: str) -> pa.NativeFile:
+    """A file of the shared folder for range reads."""
+    files, path = _location(folder)
+    return files.open_input_file(f"{path}/{name}")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``, made without a job; where it has none, the bytes of its texts and ids."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < UNKNOWN_BYTES:
-        return size
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts and ids, measured: the size of compressed files says little about repetitive texts."""
     return int(df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0)
 
 
-def part_count(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
-    """Number of parts: by size, and no fewer than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(100_000, max(1, least, -(-2 * estimated_bytes(df) // part_bytes)))
+def part_count(df: DataFrame, size: int, part_bytes: int = PART_BYTES) -> int:
+    """Number of parts for ``size`` bytes of text: no part grows with the input; at least the session's shuffle partitions."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
 
 
 def pack_shards(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:

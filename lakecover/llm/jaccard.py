@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOB, blob_table, bounded_batches, connected_components, estimated_bytes, pack_shards, part_count, written
+from .exchange import BLOB, blob_table, bounded_batches, connected_components, pack_shards, part_count, text_bytes, written
 from .text import SPACE_SEPARATORS, Words, buffers, chunks, mix, windows
 
 BLOCK_GRAMS = 1 << 21  # n-grams that one task of the tree join holds at once, about
@@ -30,9 +30,9 @@ def _sets(batch: pa.RecordBatch | pa.Table, n: int) -> Iterator[np.ndarray]:
                 yield windows(hashes[first : first + count], int(count)) if count else np.zeros(0, np.uint64)
 
 
-def _key_bits(docs: DataFrame) -> int:
-    """Bits of a gram that parts compare: nine more than it takes to count the grams, so that few differ but seem equal."""
-    return min(64, max(32, int(np.log2(max(2, estimated_bytes(docs)))) + 8))
+def _key_bits(size: int) -> int:
+    """Bits of a gram that parts compare: eight more than it takes to count the bytes, so that few differ but seem equal."""
+    return min(64, max(32, int(np.log2(max(2, size))) + 8))
 
 
 def _packed(keys: np.ndarray, bits: int) -> bytes:
@@ -218,7 +218,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count, bits = part_count(docs), _key_bits(docs)
+    size = text_bytes(docs)
+    count, bits = part_count(docs, size), _key_bits(size)
     parts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")).select("part", "doc_id", "text").repartition(count, "part")
 
     def distinct(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

@@ -82,13 +82,18 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN degree ON a = doc_id LEFT JO
 
 OP8 = r"""
 WITH p AS (
-    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+           lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) AS path,
+           regexp_extract(url, '^[^?#]*([?][^#]*)', 1) AS query, strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS ts
+    FROM pages
+), k AS (
+    SELECT *, array_to_string(list_reverse(string_split(regexp_replace(host, '^www[.]', ''), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '?' THEN '' ELSE query END AS urlkey FROM p
 ), f AS (
     SELECT payload_digest, min(page_id) AS low FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
 )
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN low < page_id THEN low END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest)
+       CASE WHEN low < page_id THEN low END AS refers_to, urlkey, ts, (row_number() OVER (ORDER BY urlkey, ts, page_id) - 1)::BIGINT AS place
+FROM k LEFT JOIN f USING (payload_digest)
 """
 
 OP9 = r"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOB, blob_table, pack_shards, part_count
+from .exchange import BLOB, blob_table, bounded_batches, pack_shards, part_count, text_bytes
 from .text import SPACE_SEPARATORS, Words, buffers, covered, row_sums, windows
 
 PERIOD = 7
@@ -121,7 +121,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, texts: bool = True) -> Da
     if length < PERIOD + 1:
         raise ValueError(f"length must be over {PERIOD}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = part_count(docs)
+    count = part_count(docs, text_bytes(docs))
     # Parts are ranges of ids: whatever a smaller part holds belongs to a smaller id.
     bounds = (docs.select(F.percentile_approx("doc_id", [k / count for k in range(1, count)], 100 * count)).first()[0] if count > 1 else None) or []
     bounds = np.unique(np.array(bounds, np.int64))

@@ -8,19 +8,26 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import quote, urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .exchange import shared_folder
+from .exchange import bounded_batches, open_shared, shared_folder, write_shared, written
 
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 8 << 20  # of records in a file, about
+RUN_BYTES, RUN_ROWS = 16 << 20, 20_000  # of payloads that a task sorts at once
+RANGE_ROWS = 200_000  # captures that one merging task holds, about
 BITE_BYTES = 1 << 12
+BLOCK_ROWS = 1 << 10
 LEAST_BYTES = 100
+SALTS = 16
 START = datetime(2020, 1, 1, tzinfo=UTC)
-RECORDS = "urlkey string, ts string, page_id long, record_type string, refers_to long, header_digest string, payload_bytes long, payload_digest string, archive string, offset long, length long"
-RECORD_NAMES = ["urlkey", "ts", "page_id", "record_type", "refers_to", "header_digest", "payload_bytes", "payload_digest", "archive", "offset", "length"]
-RECORD_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+RECORDS = "urlkey string, ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long"
+RECORD_NAMES = ["urlkey", "ts", "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "archive", "offset", "length"]
+RECORD_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
 
 def url_key(url: str) -> str:
@@ -60,24 +67,30 @@ def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, ref
     return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def records_in(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, payload) of each record of an archive file."""
-    at, view = 0, memoryview(archive)
-    while at < len(archive):
-        unpacker, pieces, fed = zlib.decompressobj(wbits=31), [], at
+def records_in(file: pa.NativeFile, at: int = 0, end: int | None = None) -> Iterator[tuple[int, int, dict[str, str], dict[str, str], bytes]]:
+    """(offset, length, WARC headers, HTTP headers, payload) of each record of an archive file, read as a stream: one record is held."""
+    end = file.size() if end is None else end
+    file.seek(at)
+    rest = b""
+    while at < end:
+        unpacker, pieces, fed = zlib.decompressobj(wbits=31), [], 0
         while not unpacker.eof:  # in small bites: what lies behind the record is copied each time
-            bite = view[fed : fed + BITE_BYTES]
+            bite = rest[:BITE_BYTES] or file.read(1 << 20)
+            rest = rest[BITE_BYTES:] if rest else b""
+            if len(bite) > BITE_BYTES:
+                bite, rest = bite[:BITE_BYTES], bite[BITE_BYTES:]
             if not bite:
                 raise ValueError(f"cut record at {at}")
             pieces.append(unpacker.decompress(bite))
             fed += len(bite)
-        data, length = b"".join(pieces), fed - at - len(unpacker.unused_data)
-        head, _, rest = data.partition(b"\r\n\r\n")
+        length, rest = fed - len(unpacker.unused_data), unpacker.unused_data + rest
+        head, _, body = b"".join(pieces).partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines)
-        if not version.startswith("WARC/") or not rest.endswith(b"\r\n\r\n") or len(rest) != int(headers["Content-Length"]) + 4:
+        if not version.startswith("WARC/") or not body.endswith(b"\r\n\r\n") or len(body) != int(headers["Content-Length"]) + 4:
             raise ValueError(f"damaged record at {at}")
-        yield at, length, headers, rest[:-4].partition(b"\r\n\r\n")[2]
+        http, _, payload = body[:-4].partition(b"\r\n\r\n")
+        yield at, length, headers, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
         at += length
 
 
@@ -85,57 +98,99 @@ def _page(urn: str | None) -> int | None:
     return int(urn[10:-1]) if urn and urn != "<urn:page:>" else None
 
 
-def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write a record for each row of ``pages(page_id, url, html)``; returns (archive, body) as written.
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of ``pages(page_id, digest, size)`` that repeat the payload of a smaller id.
+
+    Minima of digests are combined before they are shuffled. Only digests that occur again are
+    joined back, each with its pages dealt into ``SALTS`` parts, and no payload takes part.
+    """
+    known = pages.where(F.col("size") >= LEAST_BYTES)
+    first = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
+    each = known.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
+    return each.join(salted, ["digest", "salt"]).where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))).select("page_id", "digest", F.col("first").alias("refers_to"))
+
+
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+    """Write a record for each row of ``pages(page_id, url, html)`` to ``<archive>.warc.gz`` files of ``folder``; returns (archive, size).
 
     Of the rows with equal payloads of at least 100 bytes that with the smallest id is the
-    response and the others revisit it. Each archive is one capture run, sorted by URL key,
-    time and id, and named by its content.
+    response and the others revisit it. A task sorts up to ``RUN_BYTES`` of payloads by URL key,
+    time and id, whatever the Arrow batches are, and writes them as one run of files of about
+    ``ARCHIVE_BYTES``. A file is named by its content: a task that runs again writes the same.
     """
-    folder = folder or shared_folder(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha2("html", 256))
-    long_enough = F.octet_length("html") >= LEAST_BYTES
-    first = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(long_enough & (F.col("first") < F.coalesce("page_id", F.lit(2**63 - 1))), F.col("first")).alias("refers_to"))
+    again = revisits(rows.select("page_id", "digest", F.octet_length("html").alias("size"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+
+    def files(run: list[tuple]) -> Iterator[tuple[str, int]]:
+        bodies, size = [], 0
+        run.sort(key=lambda c: c[:3])
+        for n, (*_, capture) in enumerate(run):
+            bodies.append(record_bytes(*capture))
+            size += len(bodies[-1])
+            if size >= ARCHIVE_BYTES or n == len(run) - 1:
+                body = b"".join(bodies)
+                name = hashlib.sha256(body).hexdigest()[:32]
+                write_shared(folder, f"{name}.warc.gz", body)
+                yield name, size
+                bodies, size = [], 0
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            names, sizes = zip(*files(run), strict=True)
+            return pa.RecordBatch.from_pydict({"archive": pa.array(names), "size": pa.array(sizes, pa.int64())})
+
         for batch in batches:
-            captures = zip(*(batch[c].to_pylist() for c in ("url", "page_id", "html", "digest", "refers_to")), strict=True)
-            run = sorted((url_key(url), capture_time(page), -1 if page is None else page, k, (page, url, html.encode(), digest, refers)) for k, (url, page, html, digest, refers) in enumerate(captures))
-            bodies, size = [], 0
-            for n, (*_, capture) in enumerate(run):
-                bodies.append(record_bytes(*capture))
-                size += len(bodies[-1])
-                if size >= ARCHIVE_BYTES or n == len(run) - 1:
-                    body = b"".join(bodies)
-                    yield pa.RecordBatch.from_pydict({"archive": [hashlib.sha256(body).hexdigest()[:32]], "body": pa.array([body], pa.binary())})
-                    bodies, size = [], 0
+            for url, page, html, digest, refers in zip(*(batch[c].to_pylist() for c in ("url", "page_id", "html", "digest", "refers_to")), strict=True):
+                payload = html.encode()
+                run.append((url_key(url), capture_time(page), -1 if page is None else page, (page, url, payload, digest, refers)))
+                held += len(payload)
+                if held >= RUN_BYTES or len(run) >= RUN_ROWS:
+                    yield out()
+                    run, held = [], 0
+        if run:
+            yield out()
 
-    schema = "archive string, body binary"
-    rows.mapInArrow(write, schema).write.option("compression", "uncompressed").parquet(folder)
-    return pages.sparkSession.read.schema(schema).parquet(folder)
+    return written(rows.mapInArrow(write, "archive string, size long"))
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of the archives, with length and digest of the payload that it holds (null for a revisit)."""
+def read_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Every record of the files ``archives(archive, size)``, with length and digest of its full payload.
+
+    A response's payload is hashed and must agree with its header; a revisit holds no payload, so
+    its own headers tell length and digest.
+    """
+    spark = archives.sparkSession
+    tasks = max(1, min(archives.count(), max(spark.sparkContext.defaultParallelism, -(-int(archives.agg(F.sum("size")).first()[0] or 0) // (4 * ARCHIVE_BYTES)))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, body in zip(batch["archive"].to_pylist(), batch["body"].to_pylist(), strict=True):
+            for name in batch["archive"].to_pylist():
                 rows = []
-                for offset, length, headers, payload in records_in(body):
-                    kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                    page = _page(headers["WARC-Record-ID"])
-                    own = (len(payload), hashlib.sha256(payload).hexdigest()) if kind == "response" else (None, None)
-                    if own[1] not in (None, digest):
-                        raise ValueError(f"payload of page {page} has another digest")
-                    rows.append((url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], page, kind, _page(headers.get("WARC-Refers-To")), digest, *own, name, offset, length))
+                with open_shared(folder, f"{name}.warc.gz") as file:
+                    for offset, length, headers, http, payload in records_in(file):
+                        kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
+                        page = _page(headers["WARC-Record-ID"])
+                        if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["Content-Length"])):
+                            raise ValueError(f"payload of page {page} has another digest")
+                        rows.append((url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], page, kind, _page(headers.get("WARC-Refers-To")), int(http["Content-Length"]), digest, name, offset, length))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), RECORD_KINDS, strict=True)], RECORD_NAMES)
 
-    return archives.mapInArrow(read, RECORDS)
+    return archives.repartition(tasks).mapInArrow(read, RECORDS)
+
+
+def lost_revisits(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest) of revisits whose response isn't among the records; distinct before they are joined."""
+    asked = records.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest")
+    return asked.join(held, ["refers_to", "payload_digest"], "left_anti")
 
 
 class LoserTree:
@@ -172,49 +227,61 @@ class LoserTree:
             self.winner = at
 
 
+def _cursor(run: pa.Table) -> Iterator[tuple]:
+    """The keys of a sorted run with the row's number, a block at a time."""
+    for at in range(0, run.num_rows, BLOCK_ROWS):
+        block = run.slice(at, BLOCK_ROWS)
+        url, ts, page, archive, offset, row = (block[c].to_pylist() for c in ("urlkey", "ts", "page_id", "archive", "offset", "row"))
+        for k in range(block.num_rows):
+            yield url[k], ts[k], -1 if page[k] is None else page[k], archive[k], offset[k], row[k]
+
+
 def merge_index(records: DataFrame) -> DataFrame:
-    """Capture histories in global order: the records, and the place of each in its partition's merge.
+    """The records with their place in the global order of captures: by URL key, time, id, then archive and offset.
 
-    Records are dealt out by ranges of (URL key, time, id), so a host with very many captures
-    spans several tasks; in each the sorted runs of the archives meet in a loser tree.
+    Records, written once, are dealt out by ranges of that whole order, as many as hold some
+    ``RANGE_ROWS`` each, so neither a host nor a page with very many captures is one task's. In a
+    range the sorted runs of the archives meet in a loser tree, each read block by block. A record's
+    place is that in its range and the number of records in earlier ranges.
     """
-    key = ["urlkey", "ts", "page_id"]
-    ranges = records.repartitionByRange(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
-    at = [RECORD_NAMES.index(c) for c in ("urlkey", "ts", "page_id", "archive", "offset")]
+    records = written(records)
+    key = ["urlkey", "ts", "page_id", "archive", "offset"]
+    ranges = max(1, -(-records.count() // RANGE_ROWS))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = list(batches)
         if not tables:
             return
         table = pa.Table.from_batches(tables).combine_chunks()
-        url, ts, page, archive, offset = (table.column(k).to_pylist() for k in at)
-        runs: dict[str, list] = {}
-        for n in range(table.num_rows):
-            runs.setdefault(archive[n], []).append(((url[n], ts[n], -1 if page[n] is None else page[n], archive[n], offset[n]), n))
-        for run in runs.values():
-            if any(a > b for a, b in zip(run, run[1:])):  # a retried fetch may bring blocks of one run in another order
-                run.sort()
-        order = [n for _, n in LoserTree(list(runs.values()))]
-        place = pa.array(range(len(order)), pa.int64())
-        yield from table.take(pa.array(order, pa.int64())).append_column("place", place).to_batches()
-
-    return ranges.mapInArrow(merge, RECORDS + ", place long")
-
-
-def archive_pages(pages: DataFrame) -> DataFrame:
+        table = table.append_column("row", pa.array(range(table.num_rows), pa.int64()))
+        by = table.select(["archive", "offset", "row"]).sort_by([("archive", "ascending"), ("offset", "ascending")])  # a fetch may bring blocks of a run in any order
+        table = table.take(by["row"]).combine_chunks()
+        table = table.set_column(table.schema.get_field_index("row"), "row", pa.array(range(table.num_rows), pa.int64()))
+        names = table["archive"].combine_chunks().dictionary_encode()
+        cuts = [0, *(np.flatnonzero(np.diff(names.indices.to_numpy())) + 1).tolist(), table.num_rows]
+        runs = [table.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        order = pa.array([k[-1] for k in LoserTree([_cursor(r) for r in runs])], pa.int64())
+        merged = table.drop_columns(["row"]).take(order)
+        part = TaskContext.get().partitionId()
+        merged = merged.append_column("_range", pa.array([part] * len(order), pa.int32())).append_column("_place", pa.array(range(len(order)), pa.int64()))
+        yield from merged.to_batches(max_chunksize=10_000)
+
+    merged = written(records.repartitionByRange(ranges, *key).mapInArrow(merge, RECORDS + ", _range int, _place long"))
+    sizes = merged.groupBy("_range").agg(F.count("*").alias("n"))  # a row for each range
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return merged.join(before, "_range").withColumn("place", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
+def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write archives, read them back, merge their index: (page_id, payload_bytes, payload_digest,
     record_type, refers_to, urlkey, ts, archive, offset, length, place), one row per input row.
 
-    A revisit's payload is that of the response it refers to, looked up among the records read.
     A null html is an empty payload, a null url an empty one; a null id is larger than all others.
-    Rows with equal ids and payloads are all responses if theirs is the smallest id. An empty
-    table gives an empty table.
+    Rows with equal ids and payloads are all responses if theirs is the smallest id; their record
+    ids are equal too, and places tell them apart. A long payload is one record, held whole by the
+    task that writes or reads it. Other columns are ignored, whatever their names. An empty table
+    gives an empty table.
     """
-    records = merge_index(read_archives(write_archives(pages)))
-    found = records.where("record_type = 'response' and payload_bytes >= 100 and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("header_digest")).agg(F.min("payload_bytes").alias("full"))
-    joined = records.join(found, ["refers_to", "header_digest"], "left")
-    return joined.select(
-        "page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"),
-        F.coalesce("payload_digest", F.when(F.col("full").isNotNull(), F.col("header_digest"))).alias("payload_digest"),
-        "record_type", "refers_to", "urlkey", "ts", "archive", "offset", "length", "place",
-    )
+    folder = folder or shared_folder(pages.sparkSession)
+    index = merge_index(read_archives(write_archives(pages, folder), folder))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "archive", "offset", "length", "place")

@@ -1,5 +1,6 @@
 """Each operator against a plain version, on rows with nulls, empty and long texts, copies and repeats."""
 
+import gzip
 import hashlib
 import io
 import re
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ from lakecover.llm import sql
 from lakecover.llm.decontaminate import decontaminate
 from lakecover.llm.jaccard import PrefixTree, ngram_jaccard_join, similar_pairs
 from lakecover.llm.lines import line_dedup, line_suffixes
+from lakecover.llm.exchange import open_shared, shared_folder
 from lakecover.llm.media import canonical_places, media_columns, media_features, media_table, write_shards
 from lakecover.llm.mixture import mix_sources
 from lakecover.llm.quality import accepted_documents, discounts, quality_scores
 from lakecover.llm.substrings import COVER, PERIOD, substring_dedup
 from lakecover.llm.text import SPACE_SEPARATORS, Words, buffers
 from lakecover.llm.toxicity import BoostedTrees, fit_toxicity, held_out, isotonic, toxicity
-from lakecover.llm.warc import LoserTree, archive_pages, merge_index, read_archives, records_in, url_key, write_archives
+from lakecover.llm.warc import LoserTree, archive_pages, lost_revisits, merge_index, read_archives, records_in, url_key, write_archives
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -353,15 +356,37 @@ def test_archives_round_trip(spark):
     assert Counter(tuple(r[:5]) for r in got) == Counter(want)
 
 
-def test_archive_index_is_in_global_order(spark, sample):
+@pytest.mark.parametrize("range_rows", [10**6, 7])
+def test_archive_index_is_in_global_order(spark, sample, range_rows, monkeypatch):
+    monkeypatch.setattr("lakecover.llm.warc.RANGE_ROWS", range_rows)
+    monkeypatch.setattr("lakecover.llm.warc.RUN_ROWS", 5)
+    folder = shared_folder(spark)
     pages = spark.read.parquet(f"{sample}/pages.parquet").repartition(3)
-    archives = write_archives(pages)
-    index = merge_index(read_archives(archives)).withColumn("part", F.spark_partition_id()).orderBy("part", "place").collect()
+    records = read_archives(write_archives(pages, folder), folder)
+    index = merge_index(records).orderBy("place").collect()
     keys = [(r.urlkey, r.ts, r.page_id) for r in index]
-    assert keys == sorted(keys) and len(keys) == pages.count()
-    bodies = {r.archive: bytes(r.body) for r in archives.collect()}
+    assert keys == sorted(keys) and len(keys) == pages.count() and [r.place for r in index] == list(range(len(keys)))
+    assert len({r.archive for r in index}) > 3 and lost_revisits(records).count() == 0
     r = index[7]
-    assert next(records_in(bodies[r.archive][r.offset : r.offset + r.length]))[2]["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+    with open_shared(folder, f"{r.archive}.warc.gz") as file:
+        assert next(records_in(file, r.offset, r.offset + r.length))[2]["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+
+
+def test_archives_are_gzip_files_of_records(spark):
+    pages, folder = spark.createDataFrame(PAGES, "page_id long, url string, html string"), shared_folder(spark)
+    names = [r.archive for r in write_archives(pages, folder).collect()]
+    whole = b"".join(gzip.decompress(open_shared(folder, f"{n}.warc.gz").read()) for n in names)
+    assert whole.count(b"WARC/1.1\r\n") == len(PAGES) and whole.count(b"WARC-Type: revisit") == 3
+    with pytest.raises(ValueError, match="cut record"):
+        list(records_in(pa.BufferReader(gzip.compress(whole[:50])[:-9])))
+
+
+def test_archives_of_nothing_and_of_clashing_columns(spark):
+    schema = "page_id long, url string, html string, _page long, _digest string, first string, salt int, archive string"
+    assert archive_pages(spark.createDataFrame([], schema)).count() == 0
+    long = "é" * 3_000_000
+    got = archive_pages(spark.createDataFrame([(1, "http://a.b/", long, 5, "x", "y", 3, "z"), (2, "http://a.b/", long, 5, "x", "y", 3, "z")], schema)).orderBy("page_id").collect()
+    assert [(r.payload_bytes, r.record_type, r.refers_to) for r in got] == [(6_000_000, "response", None), (6_000_000, "revisit", 1)]
 
 
 @pytest.mark.parametrize("runs", [[], [[]], [[1]], [[1, 4, 9], [2, 3], [], [0, 9, 10], [5]]])
@@ -377,38 +402,64 @@ def test_url_keys():
 # -- 10
 
 
-def test_media_table(docs, rows):
-    got = media_table(docs.withColumn("feature", F.lit("clash"))).collect()
-    want = []
-    for d, t, *_ in rows:
-        raw = (t or "").encode()
-        p = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        want.append((d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
-    assert Counter(tuple(r[:5]) for r in got) == Counter(want)
+def plain_media(text):
+    raw = (text or "").encode()
+    p = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+    means = [sum(p[k * len(p) // 64 : (k + 1) * len(p) // 64]) / (len(p) // 64) for k in range(64)]
+    middle = (sorted(means)[31] + sorted(means)[32]) / 2
+    bits = "".join("1" if m > middle else "0" for m in means)
+    return len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), f"{int(bits, 2):016x}"
+
+
+def test_media_table(docs, rows, spark):
+    folder = shared_folder(spark)
+    got = media_table(docs.withColumn("feature", F.lit("clash")).withColumn("ref", F.lit("clash")), folder).collect()
+    want = Counter((d, *plain_media(t)) for d, t, *_ in rows)
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in got) == want
     texts = {d: t or "" for d, t, *_ in rows}
     by = defaultdict(set)
     for r in got:
         if r.doc_id is not None:
-            by[texts[r.doc_id]].add((r.media_sha256, r.media_bytes, r.feature))
+            by[texts[r.doc_id]].add((r.media_sha256, r.media_bytes, r.feature, r.shard, r.offset, r.length))
+        stored = open_shared(folder, f"{r.shard}.tar").read_at(r.length, r.offset)
+        assert hashlib.sha256(stored).hexdigest() == r.media_sha256 == r.digest and len(stored) == r.media_bytes == r.length
     assert all(len(x) == 1 for x in by.values())
     assert all(r.width * r.height == r.payload_bytes for r in got)
 
 
-def test_shards_are_tar_files(docs, rows):
-    members = write_shards(docs)
-    by = defaultdict(list)
-    for r in members.collect():
-        by[r.shard].append(r)
-    for shard in by.values():
-        shard.sort(key=lambda r: r.offset)
-        whole = b"".join(bytes(r.head) + bytes(r.body) for r in shard) + bytes(1024)
-        with tarfile.open(fileobj=io.BytesIO(whole)) as tar:
-            assert [m.name for m in tar] == [f"{r.digest}.pgm" for r in shard]
-            assert all(hashlib.sha256(tar.extractfile(m).read()).hexdigest() == m.name[:-4] for m in tar.getmembers())
-    heads = media_columns(members).collect()
-    assert all(r.width == 24 and r.levels == 255 and r.length == len(b"P5\n24 %d\n255\n" % r.height) + 24 * r.height for r in heads)
-    assert canonical_places(members).count() == len({r.digest for r in heads})
-    assert media_features(members).count() == len(rows)
+def png_samples(image):
+    at, packed = 8, b""
+    while at < len(image):
+        size, kind = int.from_bytes(image[at : at + 4]), image[at + 4 : at + 8]
+        assert int.from_bytes(image[at + 8 + size : at + 12 + size]) == zlib.crc32(image[at + 4 : at + 8 + size])
+        packed += image[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+        at += 12 + size
+    width, raw = int.from_bytes(image[16:20]), zlib.decompress(packed)
+    assert not any(raw[:: width + 1])
+    return b"".join(raw[k + 1 : k + 1 + width] for k in range(0, len(raw), width + 1))
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 25, 4000])
+def test_shards_are_tar_files(docs, rows, spark, shard_bytes, monkeypatch):
+    monkeypatch.setattr("lakecover.llm.media.SHARD_BYTES", shard_bytes)
+    folder = shared_folder(spark)
+    members = write_shards(docs, folder)
+    held = members.collect()
+    texts = Counter(plain_media(t)[2] for _, t, *_ in rows)
+    found = Counter()
+    for shard in {r.shard for r in held}:
+        own = {r.digest: r for r in held if r.shard == shard}
+        with tarfile.open(fileobj=io.BytesIO(open_shared(folder, f"{shard}.tar").read())) as tar:
+            assert [m.name for m in tar] == [f"{d}.png" for d in own]
+            for m in tar.getmembers():
+                image = tar.extractfile(m).read()
+                assert hashlib.sha256(image).hexdigest() == m.name[:-4] and m.offset_data == own[m.name[:-4]].offset
+                found[hashlib.sha256(png_samples(image)).hexdigest()] += len(own[m.name[:-4]].refs)
+    assert found == texts and (len({r.shard for r in held}) > 3) == (shard_bytes < 10**6)
+    places = canonical_places(members)
+    heads = media_columns(places, folder)
+    assert all(r.width == 24 and r.bits == 8 for r in heads.collect()) and places.count() == len(texts)
+    assert media_features(heads, folder).count() == len(texts)
 
 
 def test_media_of_nothing(empty):
