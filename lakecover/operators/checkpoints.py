@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; set here only where it is unset."""
+    """A new folder under spark.checkpoint.dir.
+
+    Where that is unset, a session on this machine alone takes the temporary folder; a cluster has
+    no folder that all executors see, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/lakecover-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/lakecover-checkpoints"
     return f"{base.rstrip('/')}/lakecover/{uuid.uuid4().hex}"
 
 
