@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+LEAST_SPREAD = 1e-9  # Fixed value: what counts as no spread.
+
+
 def with_group_rank(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Adds ``_r`` (rank by value from 0) and ``_n`` (rows of the group)."""
     by = W.partitionBy(*group)
@@ -46,8 +49,8 @@ def mad_threshold(df: DataFrame, group: list[str], value: str, z: float = 2.0) -
     spread = df.join(middle, group).withColumn("_d", F.abs(F.col(value) - F.col("median")))
     mad = group_upper_median(spread, group, "_d", "mad")
     limit = (
-        F.when(F.col("mad") > 1e-12, F.col("median") + z * 1.4826 * F.col("mad"))
-        .when(F.col("q3") - F.col("q1") > 1e-12, F.col("median") + z * (F.col("q3") - F.col("q1")))
+        F.when(F.col("mad") > LEAST_SPREAD, F.col("median") + z * 1.4826 * F.col("mad"))
+        .when(F.col("q3") - F.col("q1") > LEAST_SPREAD, F.col("median") + z * (F.col("q3") - F.col("q1")))
         .otherwise(F.lit(float("inf")))
     )
     return middle.join(mad, group).select(*group, "median", "mad", limit.alias("threshold"))

@@ -156,24 +156,29 @@ def one_permutation(words: np.ndarray, bins: int, seed: int = SEED_1) -> tuple[n
 
 
 def densify(signature: np.ndarray) -> np.ndarray:
-    """Fill empty bins from their left neighbour's value, then those before the first value from the right."""
+    """Fill empty bins from their left neighbour's value, then those before the first value from the right.
+
+    A run of empty bins is filled bin after bin; all runs at once, so steps are as many as the longest run.
+    """
     out = signature.copy()
-    for step, order in ((1, range(1, len(out))), (-1, range(len(out) - 2, -1, -1))):
-        empty = out == EMPTY
-        if not empty.any() or empty.all():
-            break
-        for t in order if empty.sum() > len(out) // 8 else [t for t in np.flatnonzero(empty)[::step] if t in order]:
-            if out[t] == EMPTY and out[t - step] != EMPTY:
-                out[t] = _fill(int(out[t - step]) ^ int(t))
+    full = np.flatnonzero(out != EMPTY)
+    if not len(full) or len(full) == len(out):
+        return out
+    ends = np.append(full[1:], len(out))
+    starts, step = full, 1
+    while len(starts):
+        live = starts + step < ends
+        starts, ends = starts[live], ends[live]
+        t = starts + step
+        out[t] = _fill(out[t - 1] ^ t.astype(np.uint64))
+        step += 1
+    for t in range(full[0] - 1, -1, -1):
+        out[t] = _fill(int(out[t + 1]) ^ t)
     return out
 
 
-def _fill(x: int) -> int:
-    x ^= x >> 30
-    x = (x * SPLITMIX_1) & _MASK
-    x ^= x >> 27
-    x = (x * SPLITMIX_2) & _MASK
-    return (x ^ (x >> 31)) >> 32
+def _fill(x: np.ndarray | int) -> np.ndarray:
+    return (splitmix(x) >> _32).astype(np.uint32)
 
 
 def bottom_sketch(words: np.ndarray, size: int, seed: int = SEED_1) -> np.ndarray:

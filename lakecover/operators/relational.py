@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical_accession, group_key, quality_score
@@ -71,7 +70,7 @@ def failing(items: DataFrame, checks: DataFrame, key: str = "accession") -> Data
 
 def routed(items: DataFrame, fixed: DataFrame | None, group: str, tiny: int = 20, exact: int = 50) -> DataFrame:
     """Adds n (size of the group), fixed (its given representative or null) and route."""
-    sized = items.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(group)))
+    sized = items.join(items.groupBy(group).agg(F.count("*").alias("n")), group)
     sized = sized.join(fixed.select(group, F.col("accession").alias("fixed")), group, "left") if fixed is not None else sized.withColumn("fixed", F.lit(None).cast("string"))
     return sized.withColumn("route", route(F.col("n"), F.col("fixed"), tiny, exact))
 

@@ -24,11 +24,11 @@ def words_of(payload: bytes, k: int, syncmer: int, kind: str) -> tuple[np.ndarra
     return (K.syncmers(codes, k, syncmer) if syncmer else K.canonical_kmers(codes, k)), bases, contigs
 
 
-def sketch_payloads(items: DataFrame, id: str, payload: str, *, k: int = 21, bins: int = 10_000, syncmer: int = 0, kind: str = "sequence", second: bool = False, densify: bool = True, tries: int = 3) -> DataFrame:
+def sketch_payloads(items: DataFrame, id: str, payload: str, *, k: int = 21, bins: int = 10_000, syncmer: int = 0, kind: str = "sequence", second: bool = False, densify: bool = True) -> DataFrame:
     """(id, signature, real, genome_length, n_real_bins, n_contigs, error[, second]) for each item.
 
     ``signature`` holds the low 16 bits of each bin's smallest upper hash half, little-endian, with empty bins filled from
-    neighbours; ``real`` the bits of bins that hold a hash. What fails is retried and then an error row.
+    neighbours; ``real`` the bits of bins that hold a hash. An item that can't be sketched is an error row.
     """
     kinds = dict(items.dtypes)
     text = kinds[payload] == "string"
@@ -47,10 +47,12 @@ def sketch_payloads(items: DataFrame, id: str, payload: str, *, k: int = 21, bin
         for batch in batches:
             out: list[tuple] = []
             for content in batch[payload].to_pylist():
-                if content is None:
-                    out.append(([None] * (1 + second), None, None, None, None, "no payload"))
-                    continue
-                out.append((*one(content.encode() if text else content), None))
+                try:
+                    if content is None:
+                        raise ValueError("no payload")
+                    out.append((*one(content.encode() if text else content), None))
+                except Exception as e:  # one item's fault is its own
+                    out.append(([None] * (1 + second), None, None, None, None, str(e) or type(e).__name__))
             packed, real, bases, n_real, contigs, error = zip(*out, strict=True) if out else ((),) * 6
             yield pa.RecordBatch.from_pydict({
                 id: batch[id], "signature": pa.array([p[0] for p in packed], pa.binary()), "real": pa.array(real, pa.binary()), "genome_length": pa.array(bases, pa.int64()),
@@ -137,6 +139,18 @@ def bottom_sketches(items: DataFrame, id: str, text: str, k: int = 8, size: int
     return items.select(id, text).mapInArrow(run, f"{id} {kinds[id]}, rank int, hash long")
 
 
+def sketch_distances(pairs: DataFrame, group: str) -> DataFrame:
+    """(group, a, b, dist): angular distances of ``pairs(group, a, b, pa, pb)`` of signatures."""
+    kinds = dict(pairs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            j = [K.jaccard_16(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) for x, y in zip(batch["pa"].to_pylist(), batch["pb"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in (group, "a", "b")} | {"dist": pa.array(np.arccos(np.clip(j, -1, 1)) / np.pi, pa.float64())})
+
+    return pairs.select(group, "a", "b", "pa", "pb").mapInArrow(run, f"{group} {kinds[group]}, a {kinds['a']}, b {kinds['b']}, dist double")
+
+
 def sketch_pairs(sketches: DataFrame, id: str, group: str) -> DataFrame:
     """(group, a, b, jaccard) of all pairs of a group's 16-bit signatures; for groups that fit a task."""
     kinds = dict(sketches.dtypes)

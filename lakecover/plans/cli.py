@@ -7,7 +7,9 @@ import logging
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.scalar import group_key
 from ..sources import manifest as M
 from ..sources import sinks
 from ..sources.stores import PackStore, SketchStore, Store, read_manifest_payloads
@@ -66,10 +68,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return jobs.sketch(items, SketchStore(store, cfg.kmer_size, cfg.sketch_size, cfg.syncmer_s), cfg).exit_code
     if args.command == "pack":
         return jobs.pack(items, PackStore(store)).exit_code
-    done = store.read("pipeline_stages").where("error_message is null").select("taxonomy") if args.incremental else None
-    if done is not None:
-        items = items.join(done, "taxonomy", "left_anti")
-    payloads = store.read("pack", PackStore.SCHEMA) if args.pack_store else read_manifest_payloads(items)
+    if args.incremental:  # stages go by group, which for an unresolved species is the item's own
+        done = store.read("pipeline_stages").where("error_message is null").select(F.col("taxonomy").alias("_done"))
+        items = items.withColumn("_done", group_key(F.col("taxonomy"), F.col("accession"))).join(done, "_done", "left_anti").drop("_done")
+    payloads = Store(spark, args.pack_store).read("pack", PackStore.SCHEMA) if args.pack_store else read_manifest_payloads(items)
     sides = {
         "selected": args.selected_taxa and M.read_list(spark, args.selected_taxa, "taxonomy"), "quality": args.checkm2 and M.read_checkm2(spark, args.checkm2),
         "gunc": args.gunc_scores and M.read_gunc(spark, args.gunc_scores), "fixed": args.fixed_taxa and M.read_fixed_taxa(spark, args.fixed_taxa),

@@ -21,7 +21,7 @@ def _mad(rows: str, grp: str, value: str, z: str) -> str:
 mid AS (SELECT k, max(x) FILTER (r = n // 2) AS med, max(x) FILTER (r = n // 4) AS q1, max(x) FILTER (r = n * 3 // 4) AS q3 FROM ranked GROUP BY k),
 dev AS (SELECT k, d, row_number() OVER (PARTITION BY k ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM (SELECT k, abs(x - med) AS d FROM ranked JOIN mid USING (k))),
 lim AS (
-    SELECT k, CASE WHEN mad > 1e-12 THEN med + {z} * 1.4826 * mad WHEN q3 - q1 > 1e-12 THEN med + {z} * (q3 - q1) ELSE 'infinity'::DOUBLE END AS threshold
+    SELECT k, CASE WHEN mad > 1e-9 THEN med + {z} * 1.4826 * mad WHEN q3 - q1 > 1e-9 THEN med + {z} * (q3 - q1) ELSE 'infinity'::DOUBLE END AS threshold
     FROM mid JOIN (SELECT k, max(d) FILTER (r = n // 2) AS mad FROM dev GROUP BY k) USING (k)
 )"""
 
