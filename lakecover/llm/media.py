@@ -24,7 +24,7 @@ HEADER_BYTES = 33  # signature and first chunk of an image
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 REFS = "array<struct<doc_id:long,n_bytes:long>>"
 MEMBERS = f"shard string, offset long, length long, digest string, refs {REFS}"
-TASK_BYTES = 64 << 20  # stored bytes that one reading task takes, about
+TASK_BYTES = 16 << 20  # stored bytes that one reading task takes, about
 
 
 def payload_of(text: bytes) -> bytes:
@@ -41,7 +41,7 @@ def encode_image(payload: bytes) -> bytes:
     rows = np.zeros((len(payload) // WIDTH, WIDTH + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return PNG_SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 3)) + _chunk(b"IEND", b"")
+    return PNG_SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def image_size(head: bytes) -> tuple[int, int, int]:
