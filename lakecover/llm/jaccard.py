@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .exchange import BLOB, blob_table, bounded_batches, connected_components, pack_shards, part_count, text_bytes, written
 from .text import SPACE_SEPARATORS, Words, buffers, chunks, mix, windows
 
-BLOCK_GRAMS = 1 << 21  # n-grams that one task of the tree join holds at once, about
+BLOCK_GRAMS, BLOCK_SETS = 1 << 20, 256  # n-grams and sets of a bucket, about; a task of the tree join holds two buckets at once
+HOT = 1_000  # a digest of more than this part of all rows is hot; there are no more such digests than this
 
 
 def _sets(batch: pa.RecordBatch | pa.Table, n: int) -> Iterator[np.ndarray]:
@@ -192,7 +193,7 @@ def _stars(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
     """Components of the documents linked by a Jaccard similarity of ``percent`` or more between their n-gram sets.
 
     1. Parts of the documents ask a sharded index in how many parts each of their distinct grams
@@ -207,9 +208,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
        remains on either side can't reach the similarity with the subtree's smallest set. A block
        over the bound is dealt into buckets, each pair of buckets a task, so no task holds it.
     5. Verified links give the final components.
-
-    ``docs(doc_id, text)``; other columns are ignored. Returns (doc_id, n_shingles, n_links,
-    component_id), one row per input row; n_links counts the other rows linked, copies included.
+    6. Only classes of several documents or with links are joined back to the rows. Rows without
+       grams are kept out of that join, and the at most ``HOT`` digests that hold more than that
+       part of all rows are broadcast, so that no copied text is one task's.
+
+    ``docs(doc_id, text)``; other columns are ignored, whatever their names. Returns (doc_id,
+    n_shingles, n_links, component_id), one row per input row; n_links counts the other rows
+    linked, copies included, and is left out with ``links`` false. A long text is one set, held
+    whole by its tasks.
     Null and wordless texts have an empty set, no link and their own id as component; a null id
     is in no component (null). Rows with equal ids are one document with several texts, each
     counted. An empty table gives an empty one.
@@ -217,7 +223,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = text_bytes(docs)
     count, bits = part_count(docs, size), _key_bits(size)
     parts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")).select("part", "doc_id", "text").repartition(count, "part")
@@ -265,10 +270,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             each = np.diff(offsets) // 8
             node = np.repeat(batch["doc_id"].to_numpy(), each)
             step = np.repeat(_size_step(batch["n"].to_numpy()), each)
-            shard = ((mix(keys) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+            shard = ((mix(keys) >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
             by = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
-            rows = [(s, by[a:b]) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+            at = np.flatnonzero(np.diff(shard[by], prepend=np.uint64(count)))
+            rows = [(int(shard[by[a]]), by[a:b]) for a, b in zip(at, [*at[1:], len(by)], strict=True)]
             yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _ in rows], pa.int32())} | {
                 c: pa.array([x[own].tobytes() for _, own in rows], pa.binary()) for c, x in (("keys", keys), ("nodes", node), ("steps", step))
             })
@@ -282,8 +287,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         blocks.join(chosen.select(F.col("doc_id").alias("node"), "n", "copies").groupBy("node").agg(F.max("n").alias("n"), F.max("copies").alias("copies")), "node")
         .select("node", F.col("component").alias("block"), "n", "copies")
     )
-    block_size = members.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("ways"))
-    packs = max(shards, -(-int(members.join(block_size, "block").agg(F.sum(F.col("n") * F.col("ways"))).first()[0] or 0) // BLOCK_GRAMS))
+    block_size = members.groupBy("block").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("ways"))
+    packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(members.join(block_size, "block").agg(F.sum(F.col("n") * F.col("ways"))).first()[0] or 0) // BLOCK_GRAMS))
     g, h = F.col("_g"), F.col("_h")
     dealt = (
         members.join(block_size, "block").withColumn("_g", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int"))
@@ -302,7 +307,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     def tree_join(table: pa.Table) -> pa.Table:
         node, block, copies, bucket, one, two = (table[c].to_numpy() for c in ("node", "block", "copies", "bucket", "one", "two"))
         column = table["grams"].combine_chunks()
-        out_a, out_b, nodes, links = [], [], [], []
+        out_a, out_b, nodes, weights = [], [], [], []
         by = np.lexsort((two, one, block))
         key = np.stack([block, one, two], 1)[by]
         cuts = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
@@ -322,8 +327,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             for i, found in similar_pairs(sets, percent):
                 found = found[(bucket[own[found]] != bucket[own[i]]) | (not apart)]
                 found = found[node[own[found]] != node[own[i]]]
-                weight[i] += copies[own[found]].sum()
-                weight[found] += copies[own[i]]
+                if links:
+                    weight[i] += copies[own[found]].sum()
+                    weight[found] += copies[own[i]]
                 for j in found:
                     x, y = find(i), find(int(j))
                     if x != y:
@@ -332,19 +338,26 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                         out_b.append(node[own[j]])
             linked = np.flatnonzero(weight)
             nodes += list(node[own[linked]])
-            links += list(weight[linked])
+            weights += list(weight[linked])
         return pa.table({
             "a": pa.array(out_a + nodes, pa.int64()), "b": pa.array(out_b + [None] * len(nodes), pa.int64()),
-            "links": pa.array([0] * len(out_a) + links, pa.int64()),
+            "links": pa.array([0] * len(out_a) + weights, pa.int64()),
         })
 
     linked = written(placed.groupBy("pack").applyInArrow(tree_join, "a long, b long, links long"))
     component = connected_components(linked.where("b is not null").select("a", "b"))
     degree = linked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    of_class = classes.join(component, "node", "left").join(degree, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
-    )
-    return signed.join(of_class, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+    told = written(
+        classes.join(component, "node", "left").join(degree, "node", "left")
+        .select("digest", "node", "copies", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        .where("links > 0 or copies > 1 or component < node")
     )
+    hot = F.col("copies") * HOT > signed.count()
+    often = told.where(hot).select("digest", F.col("component").alias("hot_component"), F.col("links").alias("hot_links"))
+    rows = signed.join(F.broadcast(often), "digest", "left")
+    # Rows that have nothing to look for are dealt out by their own hash.
+    key = F.when(F.col("digest").isNotNull() & F.col("hot_component").isNull(), F.col("digest")).otherwise(F.unhex(F.hex(F.xxhash64("doc_id", "n", "digest"))))
+    found = rows.withColumn("key", key).join(told.where(~hot).select(F.col("digest").alias("key"), "component", "links"), "key", "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("hot_component", "component", "doc_id")).alias("component_id")
+    n_links = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("hot_links", "links", F.lit(0))).alias("n_links")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), *([n_links] if links else []), component_id)

@@ -223,11 +223,14 @@ def plain_jaccard(rows, n=5, percent=80):
     return [(d, len(x), None if d is None else root(d)) for d, x in sets]
 
 
-@pytest.mark.parametrize("grams", [1 << 21, 150])
-def test_jaccard_join(docs, rows, grams, monkeypatch):
-    monkeypatch.setattr("lakecover.llm.jaccard.BLOCK_GRAMS", grams)
-    got = ngram_jaccard_join(docs).select("doc_id", "n_shingles", "component_id").collect()
-    assert Counter(map(tuple, got)) == Counter(plain_jaccard([r[:2] for r in rows]))
+@pytest.mark.parametrize("grams, sets, hot", [(1 << 20, 256, 1000), (150, 3, 10)])
+def test_jaccard_join(docs, rows, grams, sets, hot, monkeypatch):
+    for name, value in (("BLOCK_GRAMS", grams), ("BLOCK_SETS", sets), ("HOT", hot)):
+        monkeypatch.setattr(f"lakecover.llm.jaccard.{name}", value)
+    got = ngram_jaccard_join(docs.withColumn("digest", F.lit(1)).withColumn("key", F.lit(1)))
+    want = Counter(plain_jaccard([r[:2] for r in rows]))
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == want
+    assert Counter(map(tuple, ngram_jaccard_join(docs, links=False).collect())) == want
 
 
 @pytest.mark.parametrize("percent", [50, 80, 100])
