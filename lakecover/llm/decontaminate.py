@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import bounded_batches
+from .exchange import bounded_batches, private, written
 from .text import ALNUM_SEPARATORS, Words, buffers, chunks, covered, row_sums, windows
 
 BLOCK_BYTES = 32 << 20
@@ -24,40 +24,57 @@ def _window(words: Words, at: int, width: int) -> bytes:
 
 
 class NgramIndex:
-    """Normalised windows of a bounded block of items: hashes by width, and the words themselves."""
+    """Normalised windows of a bounded block of items, in arrays: less than four times the text, and a fixed filter.
+
+    A window is a hash and the number of its first word; words lie in one text, joined by single
+    spaces, so the words of any window are one slice of it.
+    """
 
     def __init__(self, ids: list, texts: pa.Array, n: int):
         words = Words(*buffers(texts), ALNUM_SEPARATORS, lower=True)
         hashes = words.hashes()
-        self.items: dict[bytes, set[str]] = {}
-        found: dict[int, list[int]] = {}
-        for i, item in enumerate(ids):
-            first, count = int(words.first[i]), int(words.first[i + 1] - words.first[i])
-            width = min(n, count)
-            for at in range(first, first + count - width + 1) if count else ():
-                found.setdefault(width, []).append(at)
-                held = self.items.setdefault(_window(words, at, width), set())
-                if item is not None:
-                    held.add(str(item))
+        self.ids = [None if i is None else str(i) for i in ids]
+        self.first = words.first.astype(np.int32)
+        size = words.end - words.start
+        self.start = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int32)
+        text = np.full(int(self.start[-1]), 0x20, np.uint8)
+        spots = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+        text[spots] = words.data[covered(words.start, size, len(words.data))]
+        self.text = text.tobytes()
+        counts = words.counts
+        width = np.repeat(np.minimum(counts, n), counts)
         self.by_width = {}
-        for width, at in found.items():
-            keys = np.unique(windows(hashes, width)[np.array(at)])
+        for w in np.unique(width):
+            at = np.flatnonzero((width == w) & (words.left() >= w))
+            keys = windows(hashes, int(w))[at]
+            by = np.argsort(keys, kind="stable")
+            item = np.searchsorted(words.first, at[by], "right")
+            by = by[np.append(True, (np.diff(keys[by]) != 0) | (np.diff(item) != 0))]  # once for each item
             coarse = np.zeros(1 << _FILTER_BITS, bool)
             coarse[keys >> np.uint64(64 - _FILTER_BITS)] = True
-            self.by_width[width] = keys, coarse
+            self.by_width[int(w)] = keys[by], at[by].astype(np.int32), coarse
+
+    def bytes_held(self) -> int:
+        """Bytes of the arrays, without the filters."""
+        return len(self.text) + self.start.nbytes + self.first.nbytes + sum(k.nbytes + p.nbytes for k, p, _ in self.by_width.values())
+
+    def _items(self, window: bytes, places: np.ndarray, width: int) -> set[str] | None:
+        """The items that hold the window at one of the places; None if none does."""
+        same = [p for p in places if self.text[self.start[p] : self.start[p + width] - 1] == window]
+        return {self.ids[i] for i in np.searchsorted(self.first, same, "right") - 1 if self.ids[i] is not None} if same else None
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """Start and width of every occurring window, and the items that hold it; each is compared word by word."""
         hashes, left = words.hashes(), words.left()
         starts, widths, items = [], [], []
-        for width, (keys, coarse) in self.by_width.items():
+        for width, (keys, places, coarse) in self.by_width.items():
             h = windows(hashes, width)
             at = np.flatnonzero(coarse[h >> np.uint64(64 - _FILTER_BITS)] & (left[: len(h)] >= width))
-            place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            for k in at[keys[place] == h[at]]:
-                held = self.items.get(_window(words, int(k), width))
+            low, high = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], "right")
+            for k in np.flatnonzero(high > low):
+                held = self._items(_window(words, int(at[k]), width), places[low[k] : high[k]], width)
                 if held is not None:
-                    starts.append(int(k))
+                    starts.append(int(at[k]))
                     widths.append(width)
                     items.append(held)
         return np.array(starts, np.int64), np.array(widths, np.int64), items
@@ -79,15 +96,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
 
     Words are runs of ASCII digits, ASCII letters in lower case and characters beyond ASCII. A
     window is ``n`` consecutive words of an item, or all its words if there are fewer. The
-    windows of a block of items, at most ``block_bytes`` of text, are broadcast as a hash set;
-    more items make more blocks, scanned one after the other in the same tasks. A hash hit
-    counts only if the words are equal. There is no shuffle.
+    windows of a block of items, at most ``block_bytes`` of text, are broadcast as a hash set in
+    arrays. Items beyond one block make more blocks, scanned in turn with the rows written
+    between them, so no worker holds two. A hash hit counts only if the words are equal. There
+    is no shuffle.
 
     Returns all columns of ``docs`` but clashing ones, and n_words, n_hit, n_items,
     items_sha256 (of the item ids as strings, sorted, comma-joined), contaminated, and with
     ``clean`` clean_text: the text without the hit runs (null stays null). A null text has no
     words; an item without words has no windows; a null item id is in no list. Equal rows get
-    equal results. An empty table of either kind is allowed.
+    equal results. Columns of ``docs`` may have any other names. A long text is scanned whole, as
+    one run of words. An empty table of either kind is allowed.
     """
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text"]
     kept = docs.drop(*made)
@@ -97,7 +116,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (block_bytes // 2)))
-    scanned = kept.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast("array<string>")})
+    hits_, items_ = private(names, "hits", "items")
+    scanned = kept.withColumns({hits_: F.lit(None).cast("binary"), items_: F.array().cast("array<string>")})
     schema = scanned.schema
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
@@ -107,7 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = buffers(batch["text"])
-                hits, held = batch["_hits"].to_pylist(), batch["_items"].to_pylist()
+                hits, held = batch[hits_].to_pylist(), batch[items_].to_pylist()
                 for i, j in chunks(offsets):
                     words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM_SEPARATORS, lower=True)
                     start, width, found = index.value.hits(words)
@@ -119,15 +139,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
                         spans = np.stack([start[own] - words.first[r], width[own]], 1).astype(np.int64)
                         hits[i + r] = (hits[i + r] or b"") + spans.tobytes()
                         held[i + r] = sorted(set(held[i + r]).union(*found[own]))
-                columns = [pa.array(hits, pa.binary()) if c == "_hits" else pa.array(held, pa.list_(pa.string())) if c == "_items" else batch[c] for c in batch.schema.names]
+                columns = [pa.array(hits, pa.binary()) if c == hits_ else pa.array(held, pa.list_(pa.string())) if c == items_ else batch[c] for c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
         scanned = scanned.mapInArrow(scan, schema)
+        if b < blocks - 1:
+            scanned = written(scanned)
+            index.unpersist()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch["text"])
-            spans, held = batch["_hits"].to_pylist(), batch["_items"].to_pylist()
+            spans, held = batch[hits_].to_pylist(), batch[items_].to_pylist()
             n_words, n_hit, texts = [], [], []
             for i, j in chunks(offsets):
                 raw = data[offsets[i] : offsets[j]]

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakecover.llm import sql
-from lakecover.llm.decontaminate import decontaminate
+from lakecover.llm.decontaminate import NgramIndex, decontaminate
 from lakecover.llm.jaccard import PrefixTree, ngram_jaccard_join, similar_pairs
 from lakecover.llm.lines import line_dedup, line_suffixes
 from lakecover.llm.exchange import open_shared, shared_folder
@@ -103,7 +103,7 @@ def plain_decontamination(rows, items, n=10):
 def test_decontaminate(spark, docs, rows, block_bytes):
     items = [(3, rows[8][1]), (20, rows[9][1].upper()), (100, "two, THREE"), (7, None), (8, "..."), (9, rows[8][1]), (11, "é")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    clash = docs.withColumn("n_hit", F.lit("clash"))
+    clash = docs.withColumns({c: F.lit("clash") for c in ("n_hit", "_hits", "_items")})
     got = decontaminate(clash, bench, clean=True, block_bytes=block_bytes).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == Counter(plain_decontamination([r[:2] for r in rows], items))
     again = decontaminate(spark.createDataFrame([(r.doc_id, r.clean_text) for r in got], "doc_id long, text string"), bench)
@@ -111,6 +111,12 @@ def test_decontaminate(spark, docs, rows, block_bytes):
     assert all((r.clean_text is None) == (r.text is None) and (r.n_hit or r.clean_text == r.text) for r in got)
 
 
+def test_index_stays_small():
+    texts = pa.array([" ".join(f"word{(i * k) % 977}" for i in range(2000)) for k in range(1, 40)])
+    index = NgramIndex(list(range(39)), texts, 10)
+    assert index.bytes_held() < 4 * sum(map(len, texts.to_pylist()))
+
+
 def test_decontaminate_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).where("contaminated").count() == 0
