@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOB, blob_table, bounded_batches, connected_components, pack_shards, part_count, text_bytes, written
+from .exchange import BLOB, blob_table, bounded_batches, connected_components, pack_shards, part_count, squeezed, text_bytes, unsqueezed, written
 from .text import SPACE_SEPARATORS, Words, buffers, chunks, mix, windows
 
 BLOCK_GRAMS, BLOCK_SETS = 1 << 20, 256  # n-grams and sets of a bucket, about; a task of the tree join holds two buckets at once
@@ -225,10 +225,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bo
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = text_bytes(docs)
     count, bits = part_count(docs, size), _key_bits(size)
-    parts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")).select("part", "doc_id", "text").repartition(count, "part")
+    parts = squeezed(docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")).select("part", "doc_id", "text")).repartition(count, "part")
 
     def distinct(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        sets = list(_sets(table, n))
+        sets = list(_sets(unsqueezed(table), n))
         grams, df = np.unique(np.concatenate(sets), return_counts=True)
         # Grams that agree in the compared bits are one key.
         return sets, grams, df

@@ -7,20 +7,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import bounded_batches, written
-from .text import buffers, chunks, row_sums
+from .exchange import BLOB, blob_table, bounded_batches, pack_shards, part_count, private, squeezed, text_bytes, unsqueezed, written
+from .text import buffers, chunks, mix, row_sums
 
 ORDER = 5  # bytes
-MODEL_ROWS = 4 << 20  # a model of more rows is joined shard by shard and not broadcast
+TRUSTED_IDS = 8 << 20  # trusted ids of which more are not broadcast
+LANGUAGES = 100_000
 PRIOR_BYTES = 32
 FOLDS = 2  # by hash of the text; a document is scored by the model of the trusted text of all other folds
 HELD_ROWS = 1 << 20  # distinct grams that a counting task holds before it passes them on
-MODEL = "level int, gram long, log_p double, log_rest double"
+SCORED = T.StructType().add("doc_id", "long").add("lang", "string").add("version", "long").add("text", "string").add("n_bytes", "long").add("log_p", "double")
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -35,33 +35,37 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, c): how often each gram occurs in all of ``texts(text)``, counted in tasks first and then by shard."""
+    """(fold, gram, c): how often each gram occurs in all of ``texts(fold, text)``, counted in tasks first and then by shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            grams, inverse = np.unique(np.concatenate([g for g, _ in held.values()]), return_inverse=True)
-            return grams, np.bincount(inverse, np.concatenate([c for _, c in held.values()])).astype(np.int64)
+            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(inverse, np.concatenate([c for _, c in held])).astype(np.int64)
 
         def passed(pair: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(pair[0]), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"gram": pair[0][k : k + (1 << 16)], "c": pair[1][k : k + (1 << 16)]})
+                keys = pair[0][k : k + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"fold": (keys >> (8 * ORDER)).astype(np.int32), "gram": keys & ((1 << (8 * ORDER)) - 1), "c": pair[1][k : k + (1 << 16)]})
 
         for batch in batches:
             data, offsets = buffers(batch["text"])
+            folds = batch["fold"].to_numpy().astype(np.int64)
             for i, j in chunks(offsets):
-                held[len(held)] = np.unique(_grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), return_counts=True)
-                if sum(len(g) for g, _ in held.values()) > HELD_ROWS:
+                own = offsets[i : j + 1] - offsets[i]
+                keys = _grams(data[offsets[i] : offsets[j]], own) | (np.repeat(folds[i:j], np.diff(own)) << (8 * ORDER))
+                held.append(np.unique(keys, return_counts=True))
+                if sum(len(k) for k, _ in held) > HELD_ROWS:
                     pair = merged()
-                    held = {0: pair}
+                    held = [pair]
                     if len(pair[0]) > HELD_ROWS // 2:
                         yield from passed(pair)
-                        held = {}
+                        held = []
         if held:
             yield from passed(merged())
 
-    return texts.select("text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.select("fold", "text").mapInArrow(count, "fold int, gram long, c long").groupBy("fold", "gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -106,154 +110,149 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return model.groupBy("level", "gram").agg(F.max("log_p").alias("log_p"), F.max("log_rest").alias("log_rest"))
 
 
-class _Lookup:
-    """A bounded model in sorted arrays."""
-
-    def __init__(self, table: pa.Table):
-        level, gram = table["level"].to_numpy(), table["gram"].to_numpy()
-        self.levels = []
-        for k in range(ORDER + 1):
-            own = np.flatnonzero(level == k)
-            own = own[np.argsort(gram[own])]
-            self.levels.append((gram[own], *(np.nan_to_num(table[c].take(pa.array(own)).to_numpy(), nan=np.nan).astype(np.float64) for c in ("log_p", "log_rest"))))
-
-    def _at(self, k: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.levels[k][0]
-        at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
-        return at, (keys[at] == grams if len(keys) else np.zeros(len(grams), bool))
-
-    def log_p(self, grams: np.ndarray) -> np.ndarray:
-        out, open_ = np.zeros(len(grams)), np.arange(len(grams))
-        for k in range(ORDER, 0, -1):
-            g = grams[open_] & ((1 << (8 * k)) - 1)
-            at, seen = self._at(k, g)
-            value = self.levels[k][1][at] if len(self.levels[k][0]) else np.full(len(g), np.nan)
-            seen &= ~np.isnan(value)
-            out[open_[seen]] += value[seen]
-            open_, g = open_[~seen], g[~seen]
-            at, known = self._at(k - 1, g >> 8)
-            rest = self.levels[k - 1][2][at] if len(self.levels[k - 1][0]) else np.zeros(len(g))
-            known &= ~np.isnan(rest)
-            out[open_[known]] += rest[known]
-        out[open_] += np.log(1 / 256)
-        return out
-
-
-def _lookups(model: DataFrame) -> list[_Lookup]:
-    """The models of the folds."""
-    table = model.toArrow()
-    return [_Lookup(table.filter(pc.equal(table["fold"], f))) for f in range(FOLDS)]
-
-
-def _log_p(lookups: list[_Lookup], texts: pa.Array, folds: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and log-probability of each text under the model of its fold."""
-    n_bytes, log_p = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    fold = folds.to_numpy(zero_copy_only=False)
-    for f, lookup in enumerate(lookups):
-        own = np.flatnonzero(fold == f)
-        n_bytes[own], log_p[own] = _log_p_by(lookup, texts.take(pa.array(own)))
-    return n_bytes, log_p
-
-
-def _log_p_by(lookup: _Lookup, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The same under one model; each distinct gram of a run of texts is looked up once."""
-    data, offsets = buffers(texts)
-    sums = [np.zeros(0)]
-    for i, j in chunks(offsets, 1 << 20):
-        own = offsets[i : j + 1] - offsets[i]
-        grams, inverse = np.unique(_grams(data[offsets[i] : offsets[j]], own), return_inverse=True)
-        sums.append(row_sums(lookup.log_p(grams)[inverse], own))
-    return np.diff(offsets), np.concatenate(sums)
-
-
-def _broadcast_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
-    lookup = rows.sparkSession.sparkContext.broadcast(_lookups(model))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_bytes, log_p = _log_p(lookup.value, batch["text"], batch["fold"])
-            yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("doc_id", "lang", "version")} | {"n_bytes": n_bytes, "log_p": log_p})
-
-    return rows.mapInArrow(score, "doc_id long, lang string, version long, n_bytes long, log_p double")
-
-
-def _joined_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """The same scores by joins of each document's distinct grams with the model's shards, for a model of any size."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch["text"])
-            for n in range(batch.num_rows):
-                grams, c = np.unique(_grams(data[offsets[n] : offsets[n + 1]], np.array([0, offsets[n + 1] - offsets[n]])), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.repeat(batch["doc_id"][n], len(grams)), "version": pa.repeat(batch["version"][n], len(grams)), "_fold": pa.repeat(batch["fold"][n], len(grams)), "gram": grams, "c": c})
+def gram_scores(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """``asked(key, ...)`` with log_p, the log-probability of each key under ``model(fold, level, gram, ...)``; a key is a fold and a gram of full order.
 
-    model = written(model)
-    once = rows.select("doc_id", "version", "fold", "text").dropDuplicates(["doc_id", "version"])
-    open_ = once.mapInArrow(explode, "doc_id long, version long, _fold int, gram long, c long").withColumns({"found": F.lit(None).cast("double"), "rest": F.lit(0.0)})
+    Joins of the distinct grams with the sharded model: at each level a gram that the level knows
+    is settled, any other takes on its context's weight and goes down.
+    """
+    open_ = asked.withColumns({"_fold": F.shiftright("key", 8 * ORDER).cast("int"), "gram": F.col("key").bitwiseAND(F.lit((1 << (8 * ORDER)) - 1)), "found": F.lit(None).cast("double"), "rest": F.lit(0.0)})
     for k in range(ORDER, 0, -1):
-        at = lambda level, name: model.where(F.col("level") == level).select(F.col("fold").alias("_fold"), F.col("gram").alias("_key"), F.col(name).alias("_value"))
+        at = lambda level, name: model.where((F.col("level") == level) & F.col(name).isNotNull()).select(F.col("fold").alias("_fold"), F.col("gram").alias("_key"), F.col(name).alias("_value"))
         open_ = open_.withColumn("_key", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(at(k, "log_p"), ["_fold", "_key"], "left")
         open_ = open_.withColumn("found", F.coalesce("found", F.col("rest") + F.col("_value"))).drop("_key", "_value")
         open_ = open_.withColumn("_key", F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)), 8)).join(at(k - 1, "log_rest"), ["_fold", "_key"], "left")
         open_ = open_.withColumn("rest", F.col("rest") + F.coalesce("_value", F.lit(0.0))).drop("_key", "_value")
-    sums = open_.groupBy("doc_id", "version").agg(F.sum(F.col("c") * F.coalesce("found", F.col("rest") + F.log(F.lit(1 / 256)))).alias("log_p"))
-    named = rows.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    joined = named.join(sums, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_v") == F.col("version")), "left")
-    return joined.select(F.col("_d").alias("doc_id"), "lang", F.col("_v").alias("version"), "n_bytes", F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
+    return open_.select(*asked.columns, F.coalesce("found", F.col("rest") + F.log(F.lit(1 / 256))).alias("log_p"))
 
 
-def _fold(text: Column) -> Column:
-    """Exact copies share a fold, so that no model that judges a text has counted it."""
-    return F.pmod(F.coalesce(F.xxhash64(text), F.lit(0)), F.lit(FOLDS)).cast("int")
+def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys of a part's texts, position among them of each byte's key, offsets of the texts)."""
+    data, offsets = buffers(unsqueezed(table)["text"])
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), offsets
+    fold = np.repeat(table["fold"].to_numpy().astype(np.int64), np.diff(offsets))
+    distinct, inverse = np.unique(_grams(data, offsets) | (fold << (8 * ORDER)), return_inverse=True)
+    return distinct, inverse, offsets
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte plane by byte plane: empty planes vanish in Spark's compression."""
+    return np.diff(keys, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
 
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel(), dtype=np.int64)
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("version"), _fold(F.col("text").cast("string")).alias("fold"))
 
+def _by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, positions of its keys in order) of ascending keys; a shard is a range of their hashes."""
+    hashes = mix(keys.astype(np.uint64))
+    by = np.argsort(hashes)
+    return [(s, np.sort(by[i:j])) for s, i, j in pack_shards(hashes[by], shards)]
 
-def _scores(rows: DataFrame, model: DataFrame, model_rows: int) -> DataFrame:
-    scores = _broadcast_scores(rows, model) if model.count() <= model_rows else _joined_scores(rows, model)
-    return scores.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
+
+def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool) -> DataFrame:
+    """(row, doc_id, lang, version[, text], n_bytes, log_p) of all documents, one row per input row, written; ``row`` holds the columns ``kept``.
+
+    Parts of the documents, by hash, ask for each of their distinct grams once, in packed blobs to
+    shards of grams. The grams that any part asks a shard for are scored by joins with the model,
+    and shards answer. Neither the model nor any part's grams pass through the driver.
+    """
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    rows = docs.select(
+        F.struct(*(F.col(c) for c in kept), F.lit(None).cast("int").alias(private(kept, "row")[0])).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+        _version(text).alias("version"), _fold(text).alias("fold"), text.alias("text"),
+    )
+    count = part_count(rows, text_bytes(rows))
+    parts = squeezed(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "version"), F.lit(count)).cast("int"))).repartition(count, "part")
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys, _, _ = _keys(table)
+        return blob_table([(s, table["part"][0].as_py(), _packed(keys[at])) for s, at in _by_shard(keys, count)])
+
+    def wanted(table: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([_unpacked(b) for b in table["blob"].to_pylist()]))
+        return pa.table({"shard": pa.array(np.full(len(keys), table["shard"][0].as_py()), pa.int32()), "key": pa.array(keys)})
+
+    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        keys, log_p = known["key"].to_numpy(), known["log_p"].to_numpy()
+        by = np.argsort(keys)
+        keys, log_p = keys[by], log_p[by]
+        told = [log_p[np.searchsorted(keys, _unpacked(b))].astype("<f4").tobytes() for b in asks["blob"].to_pylist()]
+        return blob_table(list(zip(asks["part"].to_pylist(), asks["shard"].to_pylist(), told, strict=True)), ("part", "shard"))
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        n_bytes, log_p = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows)
+        if table.num_rows:
+            keys, inverse, offsets = _keys(table)
+            value = np.zeros(len(keys))
+            told = dict(zip(answers["shard"].to_pylist(), answers["blob"].to_pylist(), strict=True))
+            for s, at in _by_shard(keys, count):
+                value[at] = np.frombuffer(told[s], "<f4")
+            n_bytes, log_p = np.diff(offsets), row_sums(value[inverse], offsets)
+        plain = unsqueezed(table) if keep_text else table
+        text = plain["text"].combine_chunks() if keep_text else pa.nulls(table.num_rows)
+        return table.select(["row", "doc_id", "lang", "version"]).append_column("text", text.cast(pa.string())).append_column("n_bytes", pa.array(n_bytes, pa.int64())).append_column("log_p", pa.array(log_p, pa.float64()))
+
+    asks = parts.groupBy("part").applyInArrow(ask, BLOB)
+    known = written(gram_scores(written(asks.groupBy("shard").applyInArrow(wanted, "shard int, key long")), model))
+    answers = asks.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "part int, shard int, blob binary")
+    schema = T.StructType([rows.schema["row"], *SCORED.fields])
+    scored = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, schema)
+    return written(scored if keep_text else scored.drop("text"))
+
+
+def _version(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
+def _fold(text: Column) -> Column:
+    """Exact copies share a fold, so that no model that judges a text has counted it."""
+    return F.pmod(_version(text), F.lit(FOLDS)).cast("int")
 
 
 def _with(scores: DataFrame, by_lang: DataFrame, overall: DataFrame, name: str) -> DataFrame:
-    """Adds the language's value, or else that over all languages."""
+    """Adds the language's value, or else that over all languages; a table of a row for each language is broadcast up to ``LANGUAGES``."""
     keyed = scores.withColumns({"_l": F.coalesce("lang", F.lit("")), "_n": F.col("lang").isNull()})
-    both = keyed.join(by_lang, ["_l", "_n"], "left").join(F.broadcast(overall), F.lit(True), "left")
+    own = F.broadcast(by_lang) if by_lang.count() <= LANGUAGES else by_lang
+    both = keyed.join(own, ["_l", "_n"], "left").join(F.broadcast(overall), F.lit(True), "left")
     return both.withColumn(name, F.coalesce("_own", "_all")).drop("_l", "_n", "_own", "_all")
 
 
 def _quantiles(known: DataFrame, column: str, quantile: float) -> tuple[DataFrame, DataFrame]:
     at = F.percentile_approx(column, quantile, 10_000)
     keys = F.coalesce("lang", F.lit("")).alias("_l"), F.col("lang").isNull().alias("_n")
-    return known.groupBy(*keys).agg(at.alias("_own")), known.agg(at.alias("_all"))
+    return written(known.groupBy(*keys).agg(at.alias("_own"))), written(known.agg(at.alias("_all")))
 
 
-def _judged(scores: DataFrame, limits: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """Adds ``adjusted`` and, where the limits are known, ``threshold`` and ``accepted``."""
-    middle_own, middle_all, *top = limits
+def _judged(scores: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
+    """Adds perplexity, ``adjusted``, threshold and ``accepted`` to written scores."""
+    scores = scores.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
+    narrow = scores.select("doc_id", "lang", "n_bytes", "log_p", "perplexity").where("n_bytes > 0")
+    known = written(narrow.join(trusted, "doc_id", "left_semi"))
+    middle = _quantiles(known, "perplexity", 0.5)
     mean = (-F.col("log_p") + PRIOR_BYTES * F.log("middle")) / (F.col("n_bytes") + PRIOR_BYTES)
-    judged = _with(scores, middle_own, middle_all, "middle").withColumn("adjusted", F.when(F.col("n_bytes") > 0, F.coalesce(F.exp(mean), "perplexity"))).drop("middle")
-    if top:
-        judged = _with(judged, *top, "threshold").withColumn("accepted", F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(True)))
-    return judged
+    adjust = lambda rows: _with(rows, *middle, "middle").withColumn("adjusted", F.when(F.col("n_bytes") > 0, F.coalesce(F.exp(mean), "perplexity"))).drop("middle")
+    judged = _with(adjust(scores), *_quantiles(adjust(known), "adjusted", quantile), "threshold")
+    return judged.withColumn("accepted", F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(True)))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, quantile: float, model_rows: int) -> tuple[DataFrame, DataFrame, tuple]:
+def _fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the folds' models, trusted ids)."""
     bounded_batches(docs.sparkSession)
-    rows = _rows(docs)
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    texts = written(rows.join(trusted.hint("merge"), "doc_id", "left_semi").select("fold", "text"))
-    models = [written(kneser_ney(count_grams(texts.where(F.col("fold") != f)))).withColumn("fold", F.lit(f)) for f in range(FOLDS)]
-    model = reduce(DataFrame.unionByName, models)
-    scores = written(_scores(rows, model, model_rows))
-    known = scores.where("n_bytes > 0").join(trusted, "doc_id", "left_semi")
-    middle = tuple(written(x) for x in _quantiles(known, "perplexity", 0.5))
-    top = tuple(written(x) for x in _quantiles(_judged(known, middle), "adjusted", quantile))
-    return model, scores, (*middle, *top)
-
-
-def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, model_rows: int = MODEL_ROWS) -> DataFrame:
+    trusted = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _fold(text).alias("fold"))
+    texts = rows.join(F.broadcast(trusted) if trusted.count() <= TRUSTED_IDS else trusted.hint("merge"), "doc_id", "left_semi").select("fold", "text")
+    counts = written(count_grams(texts))
+    models = [written(kneser_ney(counts.where(F.col("fold") != f).groupBy("gram").agg(F.sum("c").alias("c")))).withColumn("fold", F.lit(f)) for f in range(FOLDS)]
+    return reduce(DataFrame.unionByName, models), trusted
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
     """Perplexity of each document and whether it is accepted.
 
     The models are trained on all text that ``labels(doc_id, quality)`` trusts (quality 1): texts
@@ -264,38 +263,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, m
     the same with a prior of 32 bytes at the language's median, so that a few odd bytes don't
     condemn a tiny text. A language's threshold is the ``quantile`` of the adjusted
     perplexities of its trusted documents; a language without any takes that of all languages.
+    Up to ``TRUSTED_IDS`` trusted ids find their texts by a broadcast join, more by a sort-merge join;
+    counts, models and scores are joins of sharded tables at every size.
 
-    ``docs(doc_id, text, lang)``; returns (doc_id, version, lang, n_bytes, perplexity, adjusted,
+    ``docs(doc_id, text, lang)``, other columns ignored, whatever their names; returns (doc_id, version, lang, n_bytes, perplexity, adjusted,
     threshold, accepted), one row per input row, version being a hash of the text. Null and empty
-    texts have perplexity null and are accepted: there is nothing to object to. A null lang is a
+    texts have perplexity null and are accepted: there is nothing to object to. A long text is scored whole. Repeated rows count and are judged each by itself, ties at the threshold are accepted. A null lang is a
     language of its own. Several labels of an id count as the largest. Without any trusted text
     all documents are accepted. An empty table gives an empty one.
     """
-    _, scores, limits = _fit(docs, labels, quantile, model_rows)
-    return _judged(scores, limits).drop("log_p")
-
+    model, trusted = _fit(docs, labels)
+    return _judged(_scored(docs, model, [], False).drop("row"), trusted, quantile).select("doc_id", "version", "lang", "n_bytes", "perplexity", "adjusted", "threshold", "accepted")
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``quality_scores`` accepts, unchanged.
-
-    With a broadcast model the documents are scored a second time where they are read, which
-    spares a shuffle of all texts.
-    """
-    model, scores, limits = _fit(docs, labels, quantile, model_rows)
-    if model.count() > model_rows:
-        bad = _judged(scores, limits).where("not accepted").select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct()
-        version = F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
-        return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (version == F.col("_v")), "left_anti")
-    lookup = docs.sparkSession.sparkContext.broadcast(_lookups(model))
-    names = docs.columns
-    kept = docs.withColumn("_text", F.col("text").cast("string")).withColumn("_fold", _fold(F.col("_text")))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_bytes, log_p = _log_p(lookup.value, batch["_text"], batch["_fold"])
-            yield pa.RecordBatch.from_pydict({c: batch[c] for c in names} | {"n_bytes_": n_bytes, "log_p_": log_p})
 
-    scored = kept.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("n_bytes_", T.LongType()), T.StructField("log_p_", T.DoubleType())]))
-    packed = scored.select(F.struct(*names).alias("_row"), F.col("lang").cast("string").alias("lang"), F.col("n_bytes_").alias("n_bytes"), F.col("log_p_").alias("log_p"))
-    packed = packed.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
-    return _judged(packed, limits).where("accepted").select("_row.*")
+def accepted_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
+    """The rows of ``docs`` that ``quality_scores`` accepts, with all their columns unchanged."""
+    model, trusted = _fit(docs, labels)
+    kept = [c for c in docs.columns if c != "text"]
+    judged = _judged(_scored(docs.withColumn("text", F.col("text").cast("string")), model, kept, True), trusted, quantile)
+    return judged.where("accepted").select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOB, blob_table, bounded_batches, pack_shards, part_count, text_bytes
+from .exchange import BLOB, blob_table, bounded_batches, pack_shards, part_count, squeezed, text_bytes, unsqueezed
 from .text import SPACE_SEPARATORS, Words, buffers, covered, row_sums, windows
 
 PERIOD = 7
@@ -38,7 +38,7 @@ class _Part:
     def __init__(self, table: pa.Table, length: int):
         self.ids = table["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
         self.table, self.length = table, length
-        self.words = Words(*buffers(table["text"]), SPACE_SEPARATORS)
+        self.words = Words(*buffers(unsqueezed(table)["text"]), SPACE_SEPARATORS)
         self.hash = self.words.hashes()
         self.row = self.words.rows()
         self.anchor_width = length - PERIOD + 1
@@ -120,6 +120,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, texts: bool = True) -> Da
     """
     if length < PERIOD + 1:
         raise ValueError(f"length must be over {PERIOD}")
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     count = part_count(docs, text_bytes(docs))
     # Parts are ranges of ids: whatever a smaller part holds belongs to a smaller id.
@@ -131,7 +132,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, texts: bool = True) -> Da
         filled = ids.fillna(np.iinfo(np.int64).max).astype("int64") if ids.dtype != np.int64 else ids
         return pd.Series(np.searchsorted(bounds, filled.to_numpy(), "right").astype(np.int32))
 
-    parts = docs.select(part_of("doc_id").alias("part"), "doc_id", "text").repartition(count, "part")
+    parts = squeezed(docs.select(part_of("doc_id").alias("part"), "doc_id", "text")).repartition(count, "part")
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         part = _Part(table, length)

@@ -278,21 +278,88 @@ def test_quality_rejects_the_odd_alone(judged):
     assert kept.columns == [*docs.columns, "log_p"] and {r.doc_id for r in kept.collect()} == set(got) - {100, 101, 102, 103, 104}
 
 
-def test_quality_by_joined_shards_is_the_same(judged):
+def plain_kneser_ney(texts, order=5):
+    """{context: {byte: p}} by definition, as a function; contexts are tuples, zeros stand before a text."""
+    counts = {order: Counter()}
+    for t in texts:
+        padded = [0] * (order - 1) + list(t.encode())
+        counts[order].update(tuple(padded[i : i + order]) for i in range(len(padded) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts = {}
+    for k, table in counts.items():
+        n = [sum(c == i for c in table.values()) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n[:3]) else None
+        raw = (1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]) if y else None
+        cuts[k] = [min(max(d, 0.05), cap) for d, cap in zip(raw, (0.95, 1.95, 2.95))] if y else [0.5, 1.0, 1.5]
+    by_context = {k: defaultdict(dict) for k in counts}
+    for k, table in counts.items():
+        for g, c in table.items():
+            by_context[k][g[:-1]][g[-1]] = c
+
+    def p(gram):
+        k = len(gram)
+        lower = p(gram[1:]) if k > 1 else 1 / 256
+        seen = by_context[k].get(gram[:-1])
+        if not seen:
+            return lower
+        cut = lambda c: cuts[k][min(c, 3) - 1]
+        c, total = seen.get(gram[-1], 0), sum(seen.values())
+        return ((c - cut(c)) if c else 0) / total + sum(map(cut, seen.values())) / total * lower
+
+    return p
+
+
+def test_perplexities_against_a_plain_model(judged):
     docs, labels = judged
-    a, b = ({r.doc_id: r.perplexity for r in quality_scores(docs, labels, model_rows=n).collect()} for n in (1 << 20, 0))
-    assert all(a[d] == pytest.approx(b[d]) if a[d] else b[d] is None for d in a)
-    assert accepted_documents(docs, labels, model_rows=0).count() == docs.count() - 5
+    rows = docs.selectExpr("doc_id", "text", "lang", "coalesce(xxhash64(text), 0) as version", "cast(pmod(coalesce(xxhash64(text), 0), 2) as int) as fold").collect()
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1}
+    models = [plain_kneser_ney([r.text for r in rows if r.doc_id in trusted and r.fold != f]) for f in (0, 1)]
+    clash = {c: F.lit("clash") for c in ("_text", "log_p", "log_p_", "n_bytes_", "row", "_row", "part", "fold", "version", "accepted")}
+    got = {r.doc_id: r for r in quality_scores(docs.withColumns(clash), labels).collect()}
+    adjusted = {}
+    for r in rows:
+        data = [0] * 4 + list((r.text or "").encode())
+        grams = [tuple(data[i : i + 5]) for i in range(len(data) - 4)]
+        if not grams:
+            assert got[r.doc_id].perplexity is None
+            continue
+        want = np.exp(-sum(np.log(models[r.fold](g)) for g in grams) / len(grams))
+        assert got[r.doc_id].perplexity == pytest.approx(want, rel=1e-5)
+    for lang in ("en", "fr"):
+        own = sorted(got[r.doc_id].perplexity for r in rows if r.doc_id in trusted and r.lang == lang)
+        middle = own[(len(own) + 1) // 2 - 1]
+        for r in rows:
+            if r.lang == lang and r.text:
+                n, x = len(r.text.encode()), got[r.doc_id]
+                adjusted[r.doc_id] = np.exp((n * np.log(x.perplexity) + 32 * np.log(middle)) / (n + 32))
+                assert x.adjusted == pytest.approx(adjusted[r.doc_id])
+        top = sorted(adjusted[r.doc_id] for r in rows if r.doc_id in trusted and r.lang == lang)
+        limit = top[int(np.ceil(0.99 * len(top))) - 1]
+        assert all(got[r.doc_id].threshold == pytest.approx(limit) and got[r.doc_id].accepted == (adjusted[r.doc_id] <= limit * (1 + 1e-9)) for r in rows if r.lang == lang and r.text)
+
+
+def test_quality_of_repeated_long_and_clashing_rows(spark, judged):
+    docs, labels = judged
+    clash = {c: F.lit("clash") for c in ("_text", "log_p_", "n_bytes_", "row", "_row", "part", "fold", "version", "accepted")}
+    long = spark.createDataFrame([(500, "the cat sat on the mat and saw the dog " * 10_000, "en")], docs.schema)
+    more = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 1")).unionByName(long).unionByName(spark.createDataFrame([(None, "the cat sat on the mat and saw the dog " * 3, "en"), (None, "zq!x#" * 30, "en")], docs.schema))
+    kept = accepted_documents(more.withColumns(clash), labels)
+    assert kept.columns == [*docs.columns, *clash]
+    n = Counter(r.doc_id for r in kept.collect())
+    assert n[0] == 2 and n[1] == 3 and n[500] == 1 and n[None] == 1 and n[100] == 0
 
 
-def test_model_probabilities_sum_to_one(judged):
-    from lakecover.llm.quality import ORDER, _Lookup, count_grams, kneser_ney
+def test_model_probabilities_sum_to_one(spark, judged):
+    from lakecover.llm.quality import ORDER, count_grams, gram_scores, kneser_ney
 
     docs, _ = judged
-    model = _Lookup(kneser_ney(count_grams(docs.where("doc_id < 40"))).toArrow())
-    for context in (b"the ", b"cat ", b"qqqq", b"\0\0\0\0"):
-        head = int.from_bytes(context, "big") << 8
-        assert np.exp(model.log_p(head + np.arange(256))).sum() == pytest.approx(1.0, abs=1e-6)
+    counts = count_grams(docs.where("doc_id < 40").withColumn("fold", F.lit(0)))
+    model = kneser_ney(counts.select("gram", "c")).withColumn("fold", F.lit(0))
+    heads = [int.from_bytes(context, "big") << 8 for context in (b"the ", b"cat ", b"qqqq", b"\0\0\0\0")]
+    asked = spark.createDataFrame([(n, h + b) for n, h in enumerate(heads) for b in range(256)], "n int, key long")
+    sums = gram_scores(asked, model).groupBy("n").agg(F.sum(F.exp("log_p")).alias("p")).collect()
+    assert len(sums) == 4 and all(r.p == pytest.approx(1.0, abs=1e-6) for r in sums)
     assert ORDER == 5 and discounts([0, 0, 0, 0]) == [0.5, 1.0, 1.5]
 
 
