@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exchange import BLOB, blob_table, bounded_batches, pack_shards, part_count, private, squeezed, text_bytes, unsqueezed, written
-from .text import buffers, chunks, mix, row_sums
+from .text import buffers, chunks, mix
 
 ORDER = 5  # bytes
 TRUSTED_IDS = 8 << 20  # trusted ids of which more are not broadcast
 LANGUAGES = 100_000
 PRIOR_BYTES = 32
 FOLDS = 2  # by hash of the text; a document is scored by the model of the trusted text of all other folds
+KEYS_BYTES = 1 << 20  # of text whose grams are held at once
 HELD_ROWS = 1 << 20  # distinct grams that a counting task holds before it passes them on
 SCORED = T.StructType().add("doc_id", "long").add("lang", "string").add("version", "long").add("text", "string").add("n_bytes", "long").add("log_p", "double")
 
@@ -28,10 +29,10 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = np.arange(len(data)) + np.repeat(np.arange(1, len(offsets)), np.diff(offsets)) * (ORDER - 1)
     padded = np.zeros(len(data) + (ORDER - 1) * len(offsets), np.int64)
     padded[at] = data
-    out = np.zeros(len(data), np.int64)
-    for back in range(ORDER - 1, -1, -1):
-        out = (out << 8) | padded[at - back]
-    return out
+    out = padded.copy()
+    for back in range(1, ORDER):
+        out[back:] |= padded[:-back] << (8 * back)
+    return out[at]
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -126,14 +127,29 @@ def gram_scores(asked: DataFrame, model: DataFrame) -> DataFrame:
     return open_.select(*asked.columns, F.coalesce("found", F.col("rest") + F.log(F.lit(1 / 256))).alias("log_p"))
 
 
-def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys of a part's texts, position among them of each byte's key, offsets of the texts)."""
+def _chunk_keys(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, offsets of the texts, key of each byte) of a part, a bounded run of texts at a time: keys take many times the room of their text."""
     data, offsets = buffers(unsqueezed(table)["text"])
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), offsets
-    fold = np.repeat(table["fold"].to_numpy().astype(np.int64), np.diff(offsets))
-    distinct, inverse = np.unique(_grams(data, offsets) | (fold << (8 * ORDER)), return_inverse=True)
-    return distinct, inverse, offsets
+    folds = table["fold"].to_numpy().astype(np.int64)
+    for i, j in chunks(offsets, KEYS_BYTES):
+        own = offsets[i : j + 1] - offsets[i]
+        if own[-1]:
+            keys = _grams(data[offsets[i] : offsets[j]], own)
+            keys |= np.repeat(folds[i:j], np.diff(own)) << (8 * ORDER)
+            yield i, own, keys
+
+
+def _coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return distinct, inverse.astype(np.int32 if len(distinct) < 1 << 31 else np.int64)
+
+
+def _distinct(table: pa.Table) -> np.ndarray:
+    """The distinct keys of a part's texts, ascending."""
+    found = np.zeros(0, np.int64)
+    for _, _, keys in _chunk_keys(table):
+        found = np.union1d(found, np.unique(keys))
+    return found
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -170,7 +186,7 @@ def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool)
     parts = squeezed(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "version"), F.lit(count)).cast("int"))).repartition(count, "part")
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, _, _ = _keys(table)
+        keys = _distinct(table)
         return blob_table([(s, table["part"][0].as_py(), _packed(keys[at])) for s, at in _by_shard(keys, count)])
 
     def wanted(table: pa.Table) -> pa.Table:
@@ -186,13 +202,19 @@ def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         n_bytes, log_p = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows)
-        if table.num_rows:
-            keys, inverse, offsets = _keys(table)
+        runs = [(i, own, *_coded(keys)) for i, own, keys in _chunk_keys(table)] if table.num_rows else []
+        if runs:
+            keys = np.unique(np.concatenate([distinct for _, _, distinct, _ in runs]))
             value = np.zeros(len(keys))
             told = dict(zip(answers["shard"].to_pylist(), answers["blob"].to_pylist(), strict=True))
             for s, at in _by_shard(keys, count):
                 value[at] = np.frombuffer(told[s], "<f4")
-            n_bytes, log_p = np.diff(offsets), row_sums(value[inverse], offsets)
+        while runs:
+            i, own, distinct, inverse = runs.pop()
+            each, size = value[np.searchsorted(keys, distinct)][inverse], np.diff(own)
+            full = np.flatnonzero(size)
+            n_bytes[i + full] = size[full]
+            log_p[i + full] = np.add.reduceat(each, own[:-1][full])  # text by text: equal texts get equal sums
         plain = unsqueezed(table) if keep_text else table
         text = plain["text"].combine_chunks() if keep_text else pa.nulls(table.num_rows)
         return table.select(["row", "doc_id", "lang", "version"]).append_column("text", text.cast(pa.string())).append_column("n_bytes", pa.array(n_bytes, pa.int64())).append_column("log_p", pa.array(log_p, pa.float64()))
