@@ -144,12 +144,15 @@ def _coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, inverse.astype(np.int32 if len(distinct) < 1 << 31 else np.int64)
 
 
+def _ascending(keys: list[np.ndarray]) -> np.ndarray:
+    """The distinct ones of all keys (none below 0), by sorting: several times as fast as ``np.unique`` with its hash table."""
+    found = np.sort(np.concatenate([np.zeros(0, np.int64), *keys]))
+    return found[np.diff(found, prepend=-1) != 0]
+
+
 def _distinct(table: pa.Table) -> np.ndarray:
     """The distinct keys of a part's texts, ascending."""
-    found = np.zeros(0, np.int64)
-    for _, _, keys in _chunk_keys(table):
-        found = np.union1d(found, np.unique(keys))
-    return found
+    return _ascending([_ascending([keys]) for _, _, keys in _chunk_keys(table)])
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -190,7 +193,7 @@ def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool)
         return blob_table([(s, table["part"][0].as_py(), _packed(keys[at])) for s, at in _by_shard(keys, count)])
 
     def wanted(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([_unpacked(b) for b in table["blob"].to_pylist()]))
+        keys = _ascending([_unpacked(b) for b in table["blob"].to_pylist()])
         return pa.table({"shard": pa.array(np.full(len(keys), table["shard"][0].as_py()), pa.int32()), "key": pa.array(keys)})
 
     def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
@@ -204,7 +207,7 @@ def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool)
         n_bytes, log_p = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows)
         runs = [(i, own, *_coded(keys)) for i, own, keys in _chunk_keys(table)] if table.num_rows else []
         if runs:
-            keys = np.unique(np.concatenate([distinct for _, _, distinct, _ in runs]))
+            keys = _ascending([distinct for _, _, distinct, _ in runs])
             value = np.zeros(len(keys))
             told = dict(zip(answers["shard"].to_pylist(), answers["blob"].to_pylist(), strict=True))
             for s, at in _by_shard(keys, count):
