@@ -127,10 +127,10 @@ def gram_scores(asked: DataFrame, model: DataFrame) -> DataFrame:
     return open_.select(*asked.columns, F.coalesce("found", F.col("rest") + F.log(F.lit(1 / 256))).alias("log_p"))
 
 
-def _chunk_keys(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, offsets of the texts, key of each byte) of a part, a bounded run of texts at a time: keys take many times the room of their text."""
-    data, offsets = buffers(unsqueezed(table)["text"])
-    folds = table["fold"].to_numpy().astype(np.int64)
+def _chunk_keys(texts: pa.Array | pa.ChunkedArray, folds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, offsets of the texts, key of each byte), a bounded run of texts at a time: keys take many times the room of their text."""
+    data, offsets = buffers(texts)
+    folds = folds.astype(np.int64)
     for i, j in chunks(offsets, KEYS_BYTES):
         own = offsets[i : j + 1] - offsets[i]
         if own[-1]:
@@ -152,7 +152,7 @@ def _ascending(keys: list[np.ndarray]) -> np.ndarray:
 
 def _distinct(table: pa.Table) -> np.ndarray:
     """The distinct keys of a part's texts, ascending."""
-    return _ascending([_ascending([keys]) for _, _, keys in _chunk_keys(table)])
+    return _ascending([_ascending([keys]) for _, _, keys in _chunk_keys(unsqueezed(table)["text"], table["fold"].to_numpy())])
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -175,8 +175,8 @@ def _by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
 def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool) -> DataFrame:
     """(row, doc_id, lang, version[, text], n_bytes, log_p) of all documents, one row per input row, written; ``row`` holds the columns ``kept``.
 
-    Parts of the documents, by hash, ask for each of their distinct grams once, in packed blobs to
-    shards of grams. The grams that any part asks a shard for are scored by joins with the model,
+    The distinct grams of all texts, gathered in packed blobs by shard, are scored by joins with the
+    model. Then parts of the documents, by hash, ask shards for each of their distinct grams once,
     and shards answer. Neither the model nor any part's grams pass through the driver.
     """
     spark = docs.sparkSession
@@ -192,6 +192,17 @@ def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool)
         keys = _distinct(table)
         return blob_table([(s, table["part"][0].as_py(), _packed(keys[at])) for s, at in _by_shard(keys, count)])
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, _, keys in _chunk_keys(batch["text"], batch["fold"].to_numpy()):
+                held = _ascending([held, _ascending([keys])])
+                if len(held) > HELD_ROWS:
+                    yield from blob_table([(s, 0, _packed(held[at])) for s, at in _by_shard(held, count)]).to_batches()
+                    held = held[:0]
+        if len(held):
+            yield from blob_table([(s, 0, _packed(held[at])) for s, at in _by_shard(held, count)]).to_batches()
+
     def wanted(table: pa.Table) -> pa.Table:
         keys = _ascending([_unpacked(b) for b in table["blob"].to_pylist()])
         return pa.table({"shard": pa.array(np.full(len(keys), table["shard"][0].as_py()), pa.int32()), "key": pa.array(keys)})
@@ -205,7 +216,7 @@ def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         n_bytes, log_p = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows)
-        runs = [(i, own, *_coded(keys)) for i, own, keys in _chunk_keys(table)] if table.num_rows else []
+        runs = [(i, own, *_coded(keys)) for i, own, keys in _chunk_keys(unsqueezed(table)["text"], table["fold"].to_numpy())] if table.num_rows else []
         if runs:
             keys = _ascending([distinct for _, _, distinct, _ in runs])
             value = np.zeros(len(keys))
@@ -223,7 +234,8 @@ def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool)
         return table.select(["row", "doc_id", "lang", "version"]).append_column("text", text.cast(pa.string())).append_column("n_bytes", pa.array(n_bytes, pa.int64())).append_column("log_p", pa.array(log_p, pa.float64()))
 
     asks = parts.groupBy("part").applyInArrow(ask, BLOB)
-    known = written(gram_scores(written(asks.groupBy("shard").applyInArrow(wanted, "shard int, key long")), model))
+    seen = rows.select("fold", "text").mapInArrow(gathered, BLOB)  # from the scan's own tasks: the texts stay where they are
+    known = written(gram_scores(written(seen.groupBy("shard").applyInArrow(wanted, "shard int, key long")), model))
     answers = asks.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "part int, shard int, blob binary")
     schema = T.StructType([rows.schema["row"], *SCORED.fields])
     scored = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, schema)
