@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .exchange import private
 from .text import ALNUM_SEPARATORS, Words, buffers, chunks, windows
 
 GRAM, WINDOW = 3, 2  # any GRAM + WINDOW - 1 equal words share a fingerprint
@@ -195,16 +196,17 @@ def license_scan(docs: DataFrame, templates: DataFrame, least: float = LEAST_COV
     scanned in turn in the same tasks without a shuffle. Returns the columns of ``docs`` but clashing ones, and
     n_words, n_matches, licenses (ids, sorted, comma-joined), best_coverage (0 without a match), spans (as
     id:from-to in words, sorted by place). A null text has no words; templates without words or id match
-    nothing; repeated rows get equal results; an empty table of either kind is allowed.
+    nothing; repeated rows get equal results; a long text is scanned whole; an empty table of either kind is allowed.
     """
     made = ["n_words", "n_matches", "licenses", "best_coverage", "spans"]
     kept = docs.drop(*made)
     spark, names = docs.sparkSession, kept.columns
+    (found,) = private([*names, *made], "found")
     usable = templates.select(F.col("template_id").cast("string").alias("template_id"), F.col("text").cast("string").alias("text")).where("template_id is not null and text is not null")
     size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     found_kind = "array<struct<id:string,first:int,last:int,coverage:double,matched:int,unmatched:int>>"
-    scanned = kept.withColumn("_found", F.array().cast(found_kind))
+    scanned = kept.withColumn(found, F.array().cast(found_kind))
     kind = pa.list_(pa.struct([("id", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("coverage", pa.float64()), ("matched", pa.int32()), ("unmatched", pa.int32())]))
     for b in range(blocks):
         block = usable.where(F.pmod(F.xxhash64("template_id", "text"), F.lit(blocks)) == b) if blocks > 1 else usable
@@ -214,12 +216,12 @@ def license_scan(docs: DataFrame, templates: DataFrame, least: float = LEAST_COV
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = buffers(batch["text"])
-                held = batch["_found"].to_pylist()
+                held = batch[found].to_pylist()
                 for i, j in chunks(offsets):
                     words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM_SEPARATORS, lower=True)
                     for row, t, a, z, coverage, matched, unmatched in index.value.matches(words, least):
                         held[i + row] = [*held[i + row], {"id": index.value.ids[t], "first": a, "last": z, "coverage": coverage, "matched": matched, "unmatched": unmatched}]
-                yield pa.RecordBatch.from_arrays([pa.array(held, kind) if c == "_found" else batch[c] for c in batch.schema.names], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(held, kind) if c == found else batch[c] for c in batch.schema.names], batch.schema.names)
 
         scanned = scanned.mapInArrow(scan, scanned.schema)
 
@@ -227,7 +229,7 @@ def license_scan(docs: DataFrame, templates: DataFrame, least: float = LEAST_COV
         for batch in batches:
             data, offsets = buffers(batch["text"])
             counts = [Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM_SEPARATORS, lower=True).counts for i, j in chunks(offsets)]
-            held = [_chosen(x) for x in batch["_found"].to_pylist()]
+            held = [_chosen(x) for x in batch[found].to_pylist()]
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in names} | {
                 "n_words": pa.array(np.concatenate(counts) if counts else [], pa.int64()), "n_matches": pa.array([len(x) for x in held], pa.int64()),
                 "licenses": pa.array([",".join(sorted({m["id"] for m in x})) for x in held], pa.string()), "best_coverage": pa.array([max((m["coverage"] for m in x), default=0.0) for x in held]),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import written
+from .exchange import private, written
 
 POSITION = ["doc_id", "version", "i"]
 
@@ -55,18 +55,20 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, long_line: int = 200) -> Dat
     Adds n_lines (visible lines), n_removed, longest_run (lines of the longest deleted run's
     power of two) and kept_text; other columns are kept, clashing ones replaced. A null text has
     no lines and stays null; a text that loses all lines becomes empty. Repeated rows are one
-    document: none deletes from the other. A null id is a document before all others. Rows with
+    document: none deletes from the other. A long text is read whole. A null id is a document before all others. Rows with
     one id and several texts are ordered by a hash of the text. An empty table gives an empty one.
     """
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     made = ["n_lines", "n_removed", "longest_run", "kept_text"]
-    rows = docs.drop(*made).withColumns({
-        "_id": F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")),
-        "_version": F.coalesce(F.xxhash64("text"), F.lit(0)),
+    plain = docs.drop(*made)
+    id_, version, own, dead = private([*plain.columns, *made], "id", "version", "lines", "gone")
+    rows = plain.withColumns({
+        id_: F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")),
+        version: F.coalesce(F.xxhash64("text"), F.lit(0)),
     })
     visible = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    lines = rows.select(F.col("_id").alias("doc_id"), F.col("_version").alias("version"), F.posexplode(visible).alias("i", "line")).select(
+    lines = rows.select(F.col(id_).alias("doc_id"), F.col(version).alias("version"), F.posexplode(visible).alias("i", "line")).select(
         *POSITION, F.xxhash64("line").alias("one"), F.xxhash64(F.lit(7), "line").alias("two"), (F.length("line") >= long_line).alias("long"),
     )
     levels = line_suffixes(lines.dropDuplicates(POSITION))
@@ -74,19 +76,19 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, long_line: int = 200) -> Dat
     enough = (F.col("h") == min_lines) | ((F.col("h") == 1) & F.col("long"))
     gone = (
         later.where(enough).select("doc_id", "version", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("h") - 1)).alias("p"))
-        .groupBy("doc_id", "version").agg(F.collect_set("p").alias("_gone"))
+        .groupBy("doc_id", "version").agg(F.collect_set("p").alias(dead))
     )
     longest = later.where(F.col("h") >= min_lines).groupBy("doc_id", "version").agg(F.max("h").alias("longest_run"))
-    dead = gone.join(longest, ["doc_id", "version"], "left").withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    keep = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("_gone"))
+    cut = gone.join(longest, ["doc_id", "version"], "left").select(F.col("doc_id").alias(id_), F.col("version").alias(version), dead, "longest_run")
+    keep = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col(dead))
     return (
-        rows.join(dead, ["_id", "_version"], "left")
-        .withColumn("_lines", visible)
+        rows.join(cut, [id_, version], "left")
+        .withColumn(own, visible)
         .withColumns({
-            "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            "longest_run": F.coalesce(F.col("longest_run"), F.when(F.col("_gone").isNotNull(), 1), F.lit(0)).cast("long"),
+            "n_lines": F.coalesce(F.size(own), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.size(dead), F.lit(0)).cast("long"),
+            "longest_run": F.coalesce(F.col("longest_run"), F.when(F.col(dead).isNotNull(), 1), F.lit(0)).cast("long"),
         })
-        .withColumn("kept_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda k: F.get("_lines", k)), "\n")))
-        .drop("_id", "_version", "_lines", "_gone")
+        .withColumn("kept_text", F.when(F.col(dead).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda k: F.get(own, k)), "\n")))
+        .drop(id_, version, own, dead)
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .exchange import private
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,31 +54,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     ``docs(doc_id, text, source)``; all columns but clashing ones are kept. Adds size (words; 0
     for null), source_size, target and copies, taken (= copies * size). A null source is a
-    source of its own, last in order. Repeated rows count each by itself. A source without
+    source of its own, last in order. Repeated rows count each by itself; rows of one id and size
+    stand in order of a hash of their text. A source without
     words has target 0 and is not taken. The offset depends on seed and source alone: reruns
-    agree. An empty table gives an empty table.
+    agree. A long text counts whole. An empty table gives an empty table.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
-    rows = docs.drop(*made).withColumns({
+    kept = docs.drop(*made)
+    key, class_, salt, place, rank = private(kept.columns, "key", "class", "salt", "at", "rank")
+    rows = kept.withColumns({
         "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-        "_key": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")),
-        "_salt": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2),
-    }).withColumn("_class", _size_class(F.col("size")))
-    groups = rows.groupBy("_key", "_class", "_salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    classes = groups.groupBy("_key", "_class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    sources = classes.groupBy("_key").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(sources.withColumnRenamed("_key", "key"), weights, share, most).withColumnRenamed("key", "_key")
+        key: F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")),
+        salt: F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2),
+    }).withColumn(class_, _size_class(F.col("size")))
+    groups = rows.groupBy(key, class_, salt).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    classes = groups.groupBy(key, class_).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    sources = classes.groupBy(F.col(key).alias("key")).agg(F.sum("words").alias("source_size"))
+    targets = source_targets(sources, weights, share, most).withColumnRenamed("key", key)
     before = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
-    class_at = classes.select("_key", "_class", F.coalesce(F.sum("n").over(before("_key").orderBy("_class")), F.lit(0)).alias("c"))
-    group_at = groups.select("_key", "_class", "_salt", F.coalesce(F.sum("n").over(before("_key", "_class").orderBy("_salt")), F.lit(0)).alias("g"))
-    group_at = group_at.join(class_at, ["_key", "_class"]).join(targets, "_key").withColumn("_at", F.col("c") + F.col("g")).drop("c", "g")
-    rank = F.row_number().over(W.partitionBy("_key", "_class", "_salt").orderBy("size", "doc_id")) - 1
+    class_at = classes.select(key, class_, F.coalesce(F.sum("n").over(before(key).orderBy(class_)), F.lit(0)).alias("c"))
+    group_at = groups.select(key, class_, salt, F.coalesce(F.sum("n").over(before(key, class_).orderBy(salt)), F.lit(0)).alias("g"))
+    group_at = group_at.join(class_at, [key, class_]).join(targets, key).withColumn(place, F.col("c") + F.col("g")).drop("c", "g")
+    order = W.partitionBy(key, class_, salt).orderBy("size", "doc_id", F.xxhash64("text"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    at = (F.col("_at") + F.col("_rank")).cast("double")
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    at = (F.col(place) + F.col(rank)).cast("double")
     copies = F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)
     return (
-        rows.withColumn("_rank", rank).join(group_at, ["_key", "_class", "_salt"])
+        rows.withColumn(rank, F.row_number().over(order) - 1).join(group_at, [key, class_, salt])
         .withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .drop("_key", "_class", "_salt", "_rank", "_at")
+        .drop(key, class_, salt, rank, place)
     )

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import written
 from .text import ALNUM_SEPARATORS, SPACE_SEPARATORS, Words, buffers, chunks, covered, row_sums
 
 SAMPLE_ROWS = 8_000  # labelled rows that the lexicon and the trees are fitted on, at most
@@ -209,12 +210,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
 
     The bound makes lexicon, trees and calibration a fixed amount of work on the driver; scoring
     covers every row. Rows of ``labels(doc_id, toxic)`` with null are ignored, of several for an
-    id the largest counts. Calibration uses scores of trees that did not see the row.
+    id the largest counts, and of several texts of an id the smallest: no id counts twice, so the
+    bound holds whatever repeats. Calibration uses scores of trees that did not see the row.
     """
     rows = labels.where("doc_id is not null and toxic is not null")
     rows = (rows.where(usable) if usable is not None else rows).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     learned = learn_lexicon(sample)
     keys = np.array(list(learned), np.int64).view(np.uint64)
     by = np.argsort(keys)
@@ -246,7 +249,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs(doc_id, text)``, from its whole text alone.
 
-    A null text scores as an empty one; equal texts score equally; an empty table gives an empty one.
+    A null text scores as an empty one; equal texts score equally, so repeated rows and ties do; a long text is read whole; an empty
+    table gives an empty one. Other columns are ignored, whatever their names; a null doc_id stays null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -262,4 +266,5 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether the label must not be learned; a null id is not held out, and has no label."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))

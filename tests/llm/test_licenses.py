@@ -67,3 +67,9 @@ def test_nothing(spark, empty):
     assert license_scan(empty, notices(spark)).count() == 0
     none = spark.createDataFrame([], "template_id string, text string")
     assert Counter(r.n_matches for r in license_scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none).collect()) == {0: 1}
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "Licensed under CC BY-SA 4.0.", "a"), (2, None, "b")], "doc_id long, text string, _found string")
+    got = {r.doc_id: r for r in license_scan(docs, notices(spark)).collect()}
+    assert got[1]["_found"] == "a" and got[2]["_found"] == "b" and got[1].n_matches == 1 and got[2].n_words == 0

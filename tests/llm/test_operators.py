@@ -147,6 +147,22 @@ def test_mixture_meets_its_targets(spark):
     assert sorted(got.collect()) == sorted(mix_sources(docs.repartition(7)).collect())
 
 
+@pytest.mark.parametrize("names", [("_at", "_rank", "_key"), ("_class", "_salt", "Size")])
+def test_mixture_keeps_columns_of_any_name(docs, names):
+    plain = Counter(tuple(r) for r in mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken").collect())
+    got = mix_sources(docs.withColumns({n: F.col("doc_id") + 1 for n in names}))
+    assert set(names) - {"Size"} <= set(got.columns)
+    assert Counter(tuple(r) for r in got.select("doc_id", "size", "source_size", "target", "taken").collect()) == plain
+    assert got.where(f"{names[0]} <=> doc_id + 1").count() == got.count()
+
+
+def test_mixture_orders_texts_of_one_id(spark):
+    rows = [(1, f"{w} {w}", "s", k) for k, w in enumerate("abcdefghij" * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k long")
+    once = {tuple(sorted((r.text, r.copies) for r in mix_sources(docs.orderBy(F.rand(k)).repartition(k + 1)).collect())) for k in range(3)}
+    assert len(once) == 1
+
+
 def test_mixture_of_nothing(empty):
     assert mix_sources(empty).count() == 0
 
@@ -183,6 +199,33 @@ def test_line_dedup(docs, rows):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in got) == Counter(plain_lines([r[:2] for r in rows]))
 
 
+def plain_longest(rows, least=2):
+    """For each document the largest power of two of lines that it shares, in a row, with an earlier place."""
+    once = {(d is not None, d or 0, t): [x for x in (t or "").split("\n") if SPACE.search(x)] for d, t in rows}
+    out, h = dict.fromkeys(once, 0), least
+    while any(len(ls) >= h for ls in once.values()):
+        seen = set()
+        for k in sorted(once, key=lambda k: k[:2]):
+            for i in range(len(once[k]) - h + 1):
+                run = tuple(once[k][i : i + h])
+                if run in seen:
+                    out[k] = h
+                seen.add(run)
+        h *= 2
+    return {k[1]: n for k, n in out.items() if k[0]}
+
+
+def test_line_dedup_keeps_columns_of_any_name_and_tells_the_longest_run(spark):
+    base = [f"line number {k} of it" for k in range(21)]
+    rows = [(1, "\n".join(base)), (2, "\n".join(["own", *base[3:14], "end"])), (3, "\n".join(base[:2] + ["x"] + base[4:9])), (4, "alone"), (5, "\n".join(base[:3] * 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["_id", "_version", "_lines", "_gone"]
+    got = line_dedup(docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})).collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in got) == Counter(plain_lines(rows))
+    assert {r.doc_id: r.longest_run for r in got} == plain_longest(rows)
+
+
 def test_line_suffixes_are_intervals_of_a_suffix_array(spark):
     texts = ["a b c d e f", "b c d e x", "c d e f", "a b c d e f", "q"]
     lines = [(d, 0, i, ord(x), 0, False) for d, t in enumerate(texts) for i, x in enumerate(t.split())]
@@ -396,6 +439,14 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_toxicity_of_null_repeated_and_clashing_rows(spark):
+    docs = spark.createDataFrame([(k % 40 if k else None, f"plain text {k % 7}" + " you fool" * (k % 3 == 0), 1, k) for k in range(400)], "doc_id long, text string, score int, x long")
+    labels = spark.createDataFrame([(k, 0, int(k % 3 == 0)) for k in range(40)] * 2, "doc_id long, quality int, toxic int")
+    model = fit_toxicity(docs, labels, usable=~held_out(F.col("doc_id")))
+    got = toxicity(docs, model).select("*", held_out(F.col("doc_id")).alias("h")).collect()
+    assert len(got) == 400 and all(0 <= r.score <= 1 and r.h is not None for r in got) and sum(r.doc_id is None for r in got) == 1
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = fit_toxicity(docs, none)
