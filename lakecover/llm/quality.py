@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import BLOB, blob_table, bounded_batches, pack_shards, part_count, private, squeezed, text_bytes, unsqueezed, written
+from .exchange import BLOB, blob_table, bounded_batches, let_go, pack_shards, part_count, private, squeezed, text_bytes, unsqueezed, written
 from .text import buffers, chunks, mix
 
 ORDER = 5  # bytes
@@ -235,7 +235,9 @@ def _scored(docs: DataFrame, model: DataFrame, kept: list[str], keep_text: bool)
 
     asks = parts.groupBy("part").applyInArrow(ask, BLOB)
     seen = rows.select("fold", "text").mapInArrow(gathered, BLOB)  # from the scan's own tasks: the texts stay where they are
-    known = written(gram_scores(written(seen.groupBy("shard").applyInArrow(wanted, "shard int, key long")), model))
+    asked = written(seen.groupBy("shard").applyInArrow(wanted, "shard int, key long"))
+    known = written(gram_scores(asked, model))
+    let_go(spark)  # what the model and the joins shuffled, before the texts are
     answers = asks.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "part int, shard int, blob binary")
     schema = T.StructType([rows.schema["row"], *SCORED.fields])
     scored = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, schema)
@@ -286,6 +288,7 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = rows.join(F.broadcast(trusted) if trusted.count() <= TRUSTED_IDS else trusted.hint("merge"), "doc_id", "left_semi").select("fold", "text")
     counts = written(count_grams(texts))
     models = [written(kneser_ney(counts.where(F.col("fold") != f).groupBy("gram").agg(F.sum("c").alias("c")))).withColumn("fold", F.lit(f)) for f in range(FOLDS)]
+    let_go(docs.sparkSession)
     return reduce(DataFrame.unionByName, models), trusted
 
 
