@@ -129,10 +129,17 @@ WITH l AS (
     SELECT h, run, min((doc_id, i)) AS first FROM runs GROUP BY h, run
 ), gone AS (
     SELECT DISTINCT doc_id, unnest(range(i, i + h)) AS i FROM runs JOIN firsts USING (h, run) WHERE fit AND first < (doc_id, i)
+), deep AS (
+    SELECT doc_id, i, h, hash(ls[i + 1:i + h]) AS a, md5(array_to_string(ls[i + 1:i + h], chr(10))) AS b
+    FROM (SELECT doc_id, ls, h, unnest(range(len(ls) - h + 1)) AS i
+          FROM l, (SELECT unnest(list_transform(range(1, greatest(2, 1 + floor(log2(greatest(1, (SELECT max(len(ls)) FROM l))))::INT)), lambda k: (2 ** k)::BIGINT)) AS h) WHERE len(ls) >= h)
+), longest AS (
+    SELECT doc_id, max(h) AS longest_run FROM (SELECT doc_id, h, (doc_id, i) > min((doc_id, i)) OVER (PARTITION BY h, a, b) AS later FROM deep) WHERE later GROUP BY doc_id
 ), kept AS (
     SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
 )
 SELECT l.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT AS n_removed,
+       coalesce(longest_run, CASE WHEN len(ls) > coalesce(n, 0) THEN 1 ELSE 0 END)::BIGINT AS longest_run,
        sha256(coalesce(CASE WHEN len(ls) = coalesce(n, 0) THEN l.text ELSE kept.text END, '')) AS kept_sha256
-FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id
+FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id LEFT JOIN longest ON l.doc_id = longest.doc_id
 """
