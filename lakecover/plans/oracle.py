@@ -1,5 +1,7 @@
 """The catalogue's queries as DuckDB SQL, where SQL can express them."""
 
+from ..functions.kernels import MURMUR_1, MURMUR_2, SEED_1, WY_0, WY_1
+
 ORACLE: dict[str, str] = {}
 
 _MANIFEST = """m AS (
@@ -217,3 +219,78 @@ ORACLE["streaming_foreach_upsert"] = """
 SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1"""
 
 ORACLE["sketch_store_resume"] = "SELECT 1::INT AS run, count(*) AS done, 0::BIGINT AS failed FROM documents UNION ALL SELECT 2, 0, 0"
+
+_SIGNED = "(CASE WHEN {h} >= 9223372036854775808 THEN {h}::HUGEINT - 18446744073709551616 ELSE {h}::HUGEINT END)::BIGINT"
+
+
+def _times(x: str, factor: int) -> str:
+    return f"(({x})::UHUGEINT * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT)"
+
+
+def _shifted(x: str) -> str:
+    return f"xor({x}, {x} // {1 << 33}::UHUGEINT)"
+
+
+ORACLE["minhash_bottom_s"] = f"""
+WITH t AS (SELECT doc_id, hex(text) AS x FROM documents WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT doc_id, xor(('0x' || substr(x, 2 * i + 1, 16))::UBIGINT::UHUGEINT, {SEED_1}::UHUGEINT) AS a FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 7)) AS i FROM t)),
+b AS (SELECT doc_id, {_times(_shifted('a'), MURMUR_1)} AS b FROM w), c AS (SELECT doc_id, {_times(_shifted('b'), MURMUR_2)} AS c FROM b),
+h AS (SELECT doc_id, {_shifted('c')} AS h FROM c), r AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) - 1 AS rank FROM h)
+SELECT doc_id, rank::INT AS rank, {_SIGNED.format(h='h')} AS hash FROM r WHERE rank < 100"""
+
+
+def _base_words(rows: str, k: int) -> str:
+    """words(id, word): canonical codes of all whole words of the texts of ``rows``; a digit is a null code, which leaves its words null."""
+    recent = ", ".join(f"lag(code, {i}) OVER w AS c{i}" for i in range(k))
+    forward = " + ".join(f"c{i} * {4**i}" for i in range(k))
+    backward = " + ".join(f"(3 - c{i}) * {4 ** (k - 1 - i)}" for i in range(k))
+    return f"""points AS (SELECT id, unnest(list_transform(string_split(text, ''), lambda x: unicode(x))) AS p, unnest(range(len(text))) AS i FROM {rows}),
+codes AS (SELECT id, i, CASE WHEN p NOT BETWEEN 48 AND 57 THEN p::BIGINT % 4 END AS code FROM points WHERE p <> 10),
+recent AS (SELECT id, {recent} FROM codes WINDOW w AS (PARTITION BY id ORDER BY i)),
+words AS (SELECT id, least({forward}, {backward}) AS word FROM recent WHERE ({forward}) IS NOT NULL)"""
+
+
+ORACLE["kmer_words_relational"] = f"""
+WITH turns AS (SELECT concat_ws('-', conv_id, turn) AS id, text FROM conversations WHERE text IS NOT NULL), {_base_words('turns', 8)}
+SELECT id, count(DISTINCT word) AS n_words FROM words GROUP BY id"""
+
+ORACLE["oph_bins_relational"] = f"""
+WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {_base_words('d', 21)},
+product AS (SELECT id, xor(word::UHUGEINT, {(SEED_1 + WY_0) % (1 << 64)}::UHUGEINT) * xor(word::UHUGEINT, {WY_1}::UHUGEINT) AS p FROM (SELECT DISTINCT id, word FROM words)),
+h AS (SELECT id, xor(p // 18446744073709551616::UHUGEINT, p % 18446744073709551616::UHUGEINT) AS h FROM product)
+SELECT id AS doc_id, (h * 256::UHUGEINT // 18446744073709551616::UHUGEINT)::BIGINT AS bin, min(h // 4294967296::UHUGEINT)::BIGINT AS low FROM h GROUP BY ALL"""
+
+ORACLE["tiny_cover"] = """
+WITH RECURSIVE d AS (SELECT doc_id, concat_ws(';', lang, source) AS grp, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS words FROM documents),
+small AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS r FROM d WHERE grp IN (SELECT grp FROM d GROUP BY grp HAVING count(*) <= 20)),
+pairs AS (SELECT a.grp, a.r, b.r AS other, len(list_intersect(a.words, b.words)) AS common, len(a.words) + len(b.words) AS sizes FROM small a JOIN small b ON a.grp = b.grp AND b.r < a.r),
+covered AS (SELECT grp, r, list(other) AS others FROM pairs WHERE common >= 0.5 * greatest(1, sizes - common) GROUP BY grp, r),
+step(grp, r, chosen) AS (
+    SELECT grp, r, [r] FROM small WHERE r = 1
+    UNION ALL
+    SELECT s.grp, n.r, CASE WHEN list_has_any(coalesce(c.others, []), s.chosen) THEN s.chosen ELSE list_append(s.chosen, n.r) END
+    FROM step s JOIN small n ON n.grp = s.grp AND n.r = s.r + 1 LEFT JOIN covered c ON c.grp = n.grp AND c.r = n.r
+),
+last AS (SELECT grp, arg_max(chosen, r) AS chosen FROM step GROUP BY grp),
+picked AS (SELECT grp, unnest(chosen) AS r, unnest(range(len(chosen))) AS pick FROM last)
+SELECT grp, doc_id, pick::INT AS pick FROM picked JOIN small USING (grp, r)"""
+
+ORACLE["fps_batched"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+step(label, vec_id, v, best, rep, pick, picked, round) AS (
+    SELECT label, vec_id, v, CASE WHEN vec_id = first_value(vec_id) OVER w THEN greatest(1.0, list_dot_product(v, v)) ELSE list_dot_product(v, first_value(v) OVER w) END,
+           first_value(vec_id) OVER w, CASE WHEN row_number() OVER w = 1 THEN 0 END, 1, 0
+    FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)
+    UNION ALL
+    SELECT label, vec_id, v, CASE WHEN own THEN greatest(1.0, best, list_max(dots)) ELSE greatest(best, list_max(dots)) END,
+           CASE WHEN own THEN vec_id WHEN list_max(dots) > best THEN fresh[list_position(dots, list_max(dots))].id ELSE rep END,
+           CASE WHEN own THEN (picked + place - 1)::INT ELSE pick END, picked + len(fresh)::INT, round + 1
+    FROM (
+        SELECT *, open AND place <= 16 AS own, list_transform(fresh, lambda x: list_dot_product(v, x.v)) AS dots
+        FROM (
+            SELECT *, list({'place': place, 'id': vec_id, 'v': v} ORDER BY place) FILTER (open AND place <= 16) OVER (PARTITION BY label) AS fresh
+            FROM (SELECT *, row_number() OVER (PARTITION BY label, open ORDER BY best, vec_id) AS place FROM (SELECT *, pick IS NULL AND best <= cos(0.45 * pi()) AS open FROM step))
+        )
+    ) WHERE len(fresh) > 0
+)
+SELECT label, vec_id, arg_max(pick, round) AS pick, arg_max(rep, round) AS rep, round(arg_max(best, round), 6) AS cosine FROM step GROUP BY label, vec_id"""

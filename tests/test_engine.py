@@ -17,7 +17,7 @@ from lakecover.sources.schemas import TABLES
 from lakecover.sources.sequences import read_payloads, sequence_lengths
 from lakecover.sources.stores import EmbeddingStore, PackStore, SketchStore, Store, StoreMismatchError
 
-QUICK = ["manifest_group_counts", "quality_left_join", "fail_flag_filter", "report_summary", "upsert_merge", "replace_by_group", "upper_median_and_trunc_percentiles", "mad_outliers", "ani_jaccard_functions", "knn_topk", "isolation_outliers", "nearest_rep_assignment", "fps_single", "coverage_metrics", "fixed_and_singleton_routing"]
+QUICK = ["manifest_group_counts", "quality_left_join", "fail_flag_filter", "report_summary", "upsert_merge", "replace_by_group", "upper_median_and_trunc_percentiles", "mad_outliers", "ani_jaccard_functions", "knn_topk", "isolation_outliers", "nearest_rep_assignment", "fps_single", "coverage_metrics", "fixed_and_singleton_routing", "tiny_cover", "minhash_bottom_s", "kmer_words_relational", "oph_bins_relational", "fps_batched"]
 
 
 def tsv(path, *lines):
@@ -28,7 +28,7 @@ def tsv(path, *lines):
 @pytest.mark.parametrize("name", QUICK)
 def test_query_matches_sql(spark, sample, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "embeddings", "pages"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "embeddings", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{sample}/{t}.parquet'")
     got = QUERIES[name](spark, sample).toPandas()
     want = con.sql(ORACLE[name]).df()
