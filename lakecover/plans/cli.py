@@ -6,7 +6,7 @@ import argparse
 import logging
 from dataclasses import fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import group_key
@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = Store(spark, args.store)
     if args.command == "report":
         tables = {t: store.read(t) for t in ("results", "diversity_stats", "pipeline_stages")}
-        log.info("report: %s", _page(spark, args, report.build(tables)))
+        log.info("report: %s", ", ".join(_pages(spark, args, tables)))
         return 0
     cfg = Config(**{f.name: getattr(args, f.name) for f in fields(Config) if getattr(args, f.name, None) is not None})
     items = M.read_manifest(spark, args.manifest)
@@ -87,17 +87,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.write_tsv(rows, f"{out}/{args.prefix}_{suffix}.tsv")
     if args.copy_reps:
         sinks.copy_representatives(store.read("genomes_derep"), payloads.join(items.select("accession", "taxonomy"), "accession") if "taxonomy" not in payloads.columns else payloads, f"{out}/representatives")
-    _page(spark, args, report.build({t: store.read(t) for t in ("results", "diversity_stats", "pipeline_stages")}))
+    _pages(spark, args, {t: store.read(t) for t in ("results", "diversity_stats", "pipeline_stages")})
     return 1 if store.read("jobs_failed").limit(1).count() else 0
 
 
-def _page(spark: SparkSession, args: argparse.Namespace, page: str) -> str:
-    path = f"{args.out_dir or args.store}/{args.prefix}_report.html"
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
-    out.write(bytearray(page.encode()))
-    out.close()
-    return path
+def _pages(spark: SparkSession, args: argparse.Namespace, tables: dict[str, DataFrame]) -> list[str]:
+    """Write the report; pages after the first are numbered from 2."""
+    hadoop, paths = spark.sparkContext._jvm.org.apache.hadoop.fs, []
+    for k, page in enumerate(report.pages(tables), 1):
+        path = f"{args.out_dir or args.store}/{args.prefix}_report{f'_{k}' if k > 1 else ''}.html"
+        out = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop.Path(path), True)
+        out.write(bytearray(page.encode()))
+        out.close()
+        paths.append(path)
+    return paths
 
 
 if __name__ == "__main__":

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lakecover.operators import graph, relational
-from lakecover.plans import cli
+from lakecover.operators import cover, graph, relational
+from lakecover.plans import cli, report
 from lakecover.plans.oracle import ORACLE
 from lakecover.plans.queries import QUERIES
 from lakecover.sources import manifest as M
@@ -133,3 +133,21 @@ def test_command_line(spark, tmp_path):
     page = (tmp_path / "out" / "results_report.html").read_text()
     assert json.loads(page.split('type="application/json">')[1].split("</script>")[0])["totals"]["n_taxa"] == 2
     assert (tmp_path / "out" / "results_derep_genomes.tsv").is_dir()
+
+
+def test_pages_of_the_report_list_every_group(spark):
+    results = spark.createDataFrame([(f"g{k}", "tiny", 3, 1) for k in range(7)], "taxonomy string, method string, n_genomes int, n_genomes_derep int")
+    spread = spark.createDataFrame([], "taxonomy string, method string, n_genomes int, n_representatives int, coverage_mean_ani double, coverage_below_95 int")
+    stages = spark.createDataFrame([("g1", None)], "taxonomy string, error_message string")
+    made = list(report.pages({"results": results, "diversity_stats": spread, "pipeline_stages": stages}, most=3))
+    assert [[f"g{k}" for k in range(7) if f'"g{k}"' in page] for page in made] == [["g0", "g1", "g2"], ["g3", "g4", "g5"], ["g6"]]
+    assert all("7 groups, 21 items" in page for page in made)
+    assert len(list(report.pages({"results": results.limit(0), "diversity_stats": spread, "pipeline_stages": stages}))) == 1
+
+
+@pytest.mark.parametrize("most", [None, 5])
+def test_distributed_cover_is_the_local_one(spark, sample, most):
+    items = spark.read.parquet(f"{sample}/embeddings.parquet").withColumn("vector", F.col("embedding").cast("array<double>")).withColumn("one", F.lit(1))
+    got = {r.vec_id: (r.pick, r.rep) for r in cover.fps_distributed(items.where("label = 1"), "vec_id", "vector", 0.45, batch=4, most=most).collect()}
+    want = {r.vec_id: (r.pick, r.rep) for r in cover.fps(items.where("label = 1"), "vec_id", "vector", "one", 0.45, batch=4).collect()}
+    assert got == want if most is None else 5 <= sum(p is not None for p, _ in got.values()) < 5 + 4
