@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .conversations import damaged, repair_conversations
 from .decontaminate import decontaminate
 from .jaccard import ngram_jaccard_join
 from .licenses import license_scan, notices
 from .lines import line_dedup
 from .media import media_table
+from .merkle import FIELDS, folded, leaf_digest, merkle_manifest, proof_digest
 from .mixture import mix_sources
 from .quality import quality_scores
+from .secrets import count_of, find_secrets, joined
 from .substrings import substring_dedup
 from .toxicity import fit_toxicity, held_out, toxicity
 from .warc import archive_pages
@@ -73,6 +76,25 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_table(_table(spark, sf_dir, "documents")).select(made)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = {f"n_{kind}": count_of(kind) for kind in ("assign", "access", "hex")}
+    return find_secrets(docs).withColumns({**counts, "base_sha256": F.sha2(joined(base=True), 256), "spans": joined(base=False)}).drop("text", "secrets")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(hit, leaf_digest(*[lower if c == "text" else F.col(c) for c in FIELDS]))
+    rows = merkle_manifest(docs, tampered=tampered).withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -85,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_web_archive": op8_web_archive,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_media_columns": op10_media_columns,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -96,4 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard": sql.OP6,
         "op8_web_archive": sql.OP8,
         "op9_substring_dedup": sql.OP9,
+        "op11_secret_scan": sql.OP11,
+        "op12_merkle_manifest": sql.OP12,
+        "op13_conversation_repair": sql.OP13,
     }

@@ -143,3 +143,143 @@ SELECT l.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT
        sha256(coalesce(CASE WHEN len(ls) = coalesce(n, 0) THEN l.text ELSE kept.text END, '')) AS kept_sha256
 FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id LEFT JOIN longest ON l.doc_id = longest.doc_id
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string of ASCII characters, bit by bit."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(({text})[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(s, b) >> 1, (xor(s, b) & 1) * 3988292384)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda s, b: {step}), 4294967295)"
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_WORDS = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|" + _either_case("api") + "_?" + _either_case("key")
+_DIGITS = "regexp_replace(regexp_extract(m, '[0-9][0-9 -]*$'), '[^0-9]', '', 'g')"
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_TOKEN = "list_aggregate(list_transform(range(5, -1, -1), lambda e: substr('{digits}', 1 + ((crc // (62 ** e)::BIGINT) % 62)::INT, 1)), 'string_agg', '')".replace("{digits}", _BASE62)
+_SPANS = {
+    "assign": (rf"""({_WORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, '^[A-Za-z_]+[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"),
+    "access": ("AKIA[A-Z0-9]{16,}", "true"),
+    "hex": ("[0-9a-f]{24,}", "true"),
+    "github": ("gh[pousr]_[A-Za-z0-9]+", "length(m) = 40 AND token = substr(m, 35)"),
+    "npm": ("npm_[A-Za-z0-9]+", "length(m) = 40 AND token = substr(m, 35)"),
+    "card": (_either_case("card") + r"[^0-9\n]{0,20}[0-9](?:[ -]?[0-9])*", "length(digits) BETWEEN 13 AND 19 AND regexp_replace(digits, substr(digits, 1, 1), '', 'g') <> '' AND luhn % 10 = 0"),
+}
+_LUHN = "list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN digits[length(digits) - i]::INT ELSE digits[length(digits) - i]::INT * 2 - CASE WHEN digits[length(digits) - i]::INT > 4 THEN 9 ELSE 0 END END))"
+
+OP11 = f"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+    {" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {k} AS k, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gs FROM d" for k, (kind, (pattern, _)) in enumerate(_SPANS.items()))}
+), spans AS (
+    SELECT doc_id, kind, k, ms[j] AS m, (list_sum(list_transform(gs[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:j - 1], lambda x: length(x))), 0))::BIGINT AS a
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS j FROM found)
+), checked AS (
+    SELECT *, {_LUHN} AS luhn, {_TOKEN} AS token
+    FROM (SELECT *, CASE WHEN kind = 'card' THEN {_DIGITS} END AS digits, CASE WHEN kind IN ('github', 'npm') AND length(m) = 40 THEN {_crc32("substr(m, 5, 30)")} END AS crc FROM spans)
+), fit AS (
+    SELECT doc_id, kind, k, a, kind || ':' || a || ':' || a + length(m) AS span FROM checked
+    WHERE CASE kind {" ".join(f"WHEN '{kind}' THEN {test}" for kind, (_, test) in _SPANS.items())} END
+), summed AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans
+    FROM fit GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN summed USING (doc_id)
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs {name}1 ... of the levels over {name}0(grp, p, n, node), {name}_s of the siblings in all of them and {name}root of each group's last node."""
+    up = [f"{name}{k + 1} AS (SELECT grp, p // 8 AS p, (max(n) + 7) // 8 AS n, sha256(string_agg(node, '' ORDER BY p)) AS node FROM {name}{k} WHERE n > 1 GROUP BY grp, p // 8)" for k in range(levels)]
+    every = " UNION ALL ".join(f"SELECT {k} AS level, grp, p, n, node FROM {name}{k}" for k in range(levels + 1))
+    side = "coalesce(string_agg(node, '') OVER (PARTITION BY level, grp, p // 8 ORDER BY p ROWS BETWEEN {}), '')"
+    beside = f"{side.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS before, {side.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS after"
+    return ", ".join([*up, f"{name}_s AS (SELECT *, {beside} FROM ({every}))", f"{name}root AS (SELECT grp, node FROM {name}_s WHERE n = 1)"])
+
+
+def _folds(frm: str, table: str, to: str, key: str, levels: int) -> str:
+    """CTEs from {frm} to {to}: fold and proof taken through the levels of {table}_s."""
+    out, last = [], frm
+    for k in range(levels):
+        step = f"SELECT x.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.before || x.fold || s.after) ELSE x.fold END AS fold, CASE WHEN s.n > 1 THEN x.proof || s.before || s.after ELSE x.proof END AS proof)"
+        name = f"{frm}_{k}" if k < levels - 1 else to
+        out.append(f"{name} AS ({step} FROM {last} x LEFT JOIN {table}_s s ON s.level = {k} AND s.grp = x.{key} AND s.p = x.{key}_p // {8**k})")
+        last = name
+    return ", ".join(out)
+
+
+OP12 = f"""
+WITH leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf("text")} AS node,
+           CASE WHEN {_crc32("coalesce(doc_id::VARCHAR, '-')")} % 3 = 0 AND doc_id IS NOT NULL THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+    FROM documents
+), a0 AS (
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS p, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+), {_tree("a", 7)}, b0 AS (
+    SELECT '' AS grp, grp AS of_, node, row_number() OVER (ORDER BY grp) - 1 AS p, count(*) OVER () AS n FROM aroot
+), {_tree("b", 4)}, x AS (
+    SELECT a0.doc_id, a0.node AS leaf, a0.grp AS low, a0.p AS low_p, b0.node AS subroot, '' AS high, b0.p AS high_p, coalesce(tampered, a0.node) AS fold, '' AS proof
+    FROM a0 JOIN b0 ON b0.of_ = a0.grp
+), {_folds("x", "a", "y", "low", 7)}, {_folds("y", "b", "z", "high", 4)}
+SELECT doc_id, leaf, subroot, broot.node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = broot.node AS verified FROM z, broot
+"""
+
+_INSERTS = """(VALUES ('', '', 0, '', ''), ('', 'u', 3, 'I', 'user:' || chr(10)), ('', 'a', 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+    ('s', 's', 0, '', ''), ('s', 'u', 3, 'I', 'user:' || chr(10)), ('s', 'a', 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+    ('u', 'u', 0, '', ''), ('u', 'a', 3, 'I', 'assistant:' || chr(10)), ('a', 'a', 0, '', ''), ('a', 'u', 3, 'I', 'user:' || chr(10)))"""
+
+OP13 = f"""
+WITH RECURSIVE c AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations
+), r AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM c WHERE kind <> 0
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS short FROM r
+), f AS (
+    SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS ini,
+           CASE WHEN short = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(short, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM o
+), g AS (
+    SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM g GROUP BY conv_id
+), ins AS (
+    SELECT * FROM {_INSERTS} t(p, q, cost, letters, words)
+), acts AS (
+    SELECT conv_id, i, q, 'D' AS letter, 4 AS cost, q AS then_, '' AS words FROM f, (VALUES (''), ('s'), ('u'), ('a')) t(q)
+    UNION ALL
+    SELECT conv_id, i, q, 'K', CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, ini, role || ':' || text || chr(10)
+    FROM f JOIN (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) t(q, r) ON ini = r WHERE fault NOT IN ('blank', 'duplicate')
+    UNION ALL
+    SELECT conv_id, i, q, 'R', CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, r, name || ':' || text || chr(10)
+    FROM f, (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')) t(q, r, name) WHERE fault NOT IN ('blank', 'duplicate')
+), best(conv_id, i, q, b) AS (
+    SELECT conv_id, 0::BIGINT, '', {{'cost': 0, 'audit': '', 'words': ''}} FROM facts
+    UNION ALL
+    SELECT best.conv_id, best.i + 1, acts.then_, min({{'cost': b.cost + ins.cost + acts.cost, 'audit': b.audit || ins.letters || acts.letter, 'words': b.words || ins.words || acts.words}})
+    FROM best JOIN ins ON ins.p = best.q JOIN acts ON acts.conv_id IS NOT DISTINCT FROM best.conv_id AND acts.i = best.i + 1 AND acts.q = ins.q
+    GROUP BY best.conv_id, best.i, acts.then_
+), done AS (
+    SELECT facts.conv_id, min({{'cost': b.cost + ins.cost, 'audit': b.audit || ins.letters, 'words': b.words || ins.words}}) AS b
+    FROM best JOIN facts ON facts.conv_id IS NOT DISTINCT FROM best.conv_id AND best.i = facts.n JOIN ins ON ins.p = best.q AND ins.q IN ('', 'a') GROUP BY facts.conv_id
+)
+SELECT x.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(b.words[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
