@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import angular_distance_of, dot, euclidean_distance
 
@@ -26,6 +27,19 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
+def _largest(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's k largest values, of equal ones the earlier: all that reach the k-th are taken, and only rows with more than k such are sorted."""
+    if k >= cosines.shape[1]:
+        rows, cols = np.indices(cosines.shape)
+        return rows.ravel(), cols.ravel()
+    least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, cosines.shape[1] - k]
+    take = cosines >= least[:, None]
+    for i in np.flatnonzero(take.sum(axis=1) > k):
+        take[i] = False
+        take[i, np.argsort(-cosines[i], kind="stable")[:k]] = True
+    return np.nonzero(take)
+
+
 def _dealt(rows: DataFrame, side: str, block: int, other: DataFrame) -> DataFrame:
     """Each row once for each block of the other side."""
     own = f"_{side}"
@@ -56,8 +70,7 @@ def block_join(left: DataFrame, right: DataFrame, id: str, vector: str, group: s
         if not keep_self:
             cosines[xi[:, None] == yi[None, :]] = -np.inf
         if k is not None:
-            take = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
-            rows, cols = np.repeat(np.arange(len(xi)), take.shape[1]), take.ravel()
+            rows, cols = _largest(cosines, k)
         else:
             rows, cols = np.nonzero(cosines >= least_cosine)
         value = cosines[rows, cols]
@@ -65,8 +78,9 @@ def block_join(left: DataFrame, right: DataFrame, id: str, vector: str, group: s
         rows, cols, value = rows[ok], cols[ok], value[ok]
         return pa.table({"g": x["_group"].combine_chunks().take(pa.array(rows)), "src": x["_id"].combine_chunks().take(pa.array(rows)), "dst": pa.array(yi[cols], y["_id"].type), "cosine": pa.array(value)})
 
-    kinds = dict(left.dtypes)
-    found = a.groupBy("_group", "_a", "_b").cogroup(b.groupBy("_group", "_a", "_b")).applyInArrow(near, f"g {kinds['_group']}, src {kinds['_id']}, dst {kinds['_id']}, cosine double")
+    kinds = left.schema
+    made = T.StructType([T.StructField(name, kinds[of].dataType) for name, of in (("g", "_group"), ("src", "_id"), ("dst", "_id"))] + [T.StructField("cosine", T.DoubleType())])
+    found = a.groupBy("_group", "_a", "_b").cogroup(b.groupBy("_group", "_a", "_b")).applyInArrow(near, made)
     if k is not None:
         rank = F.row_number().over(W.partitionBy("g", "src").orderBy(F.desc("cosine"), "dst"))
         found = found.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")

@@ -294,3 +294,39 @@ step(label, vec_id, v, best, rep, pick, picked, round) AS (
     ) WHERE len(fresh) > 0
 )
 SELECT label, vec_id, arg_max(pick, round) AS pick, arg_max(rep, round) AS rep, round(arg_max(best, round), 6) AS cosine FROM step GROUP BY label, vec_id"""
+
+_CELLS = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, ('0x' || substr(md5(vec_id::VARCHAR), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS h FROM embeddings),
+s AS (SELECT count(*)::DOUBLE AS n, min(h) AS low FROM e),
+c AS (SELECT vec_id AS cell, v AS cv FROM e, s WHERE h <= greatest(2.0 * sqrt(n) / n, low)),
+to_cells AS (SELECT vec_id, cell, cosine, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, cell) AS place FROM (SELECT vec_id, cell, list_dot_product(v, cv) AS cosine FROM e, c)),
+own AS (SELECT vec_id, cell, acos(greatest(-1.0, least(1.0, cosine))) / pi() AS d FROM to_cells WHERE place = 1)"""
+_EXACT = """pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.v, b.v) AS cosine FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cosine DESC, dst) AS rank FROM pairs) WHERE rank <= 5),
+asks AS (
+    SELECT quantile_disc(t.place, 0.95) AS probes FROM exact x JOIN e q ON q.vec_id = x.src JOIN s ON q.h <= greatest(200.0 / n, low)
+    JOIN own o ON o.vec_id = x.dst JOIN to_cells t ON t.vec_id = x.src AND t.cell = o.cell
+)"""
+_FOUND = """found AS (
+    SELECT * FROM (
+        SELECT p.src, p.dst, p.cosine, row_number() OVER (PARTITION BY p.src ORDER BY p.cosine DESC, p.dst) AS rank
+        FROM pairs p JOIN own o ON o.vec_id = p.dst JOIN to_cells t ON t.vec_id = p.src AND t.cell = o.cell JOIN asks ON t.place <= probes {where}
+    ) WHERE rank <= 5
+)"""
+_ANGLE = "round(acos(greatest(-1.0, least(1.0, cosine))) / pi(), 6)"
+
+ORACLE["ann_cells"] = f"""
+WITH {_CELLS} SELECT vec_id, cell, count(*) OVER (PARTITION BY cell) AS n, round(max(d) OVER (PARTITION BY cell), 6) AS radius FROM own"""
+
+ORACLE["ann_knn"] = f"WITH {_CELLS}, {_EXACT}, {_FOUND.format(where='')} SELECT src, dst, rank::INT AS rank, {_ANGLE} AS dist FROM found"
+
+ORACLE["ann_filtered"] = f"WITH {_CELLS}, {_EXACT}, {_FOUND.format(where='WHERE p.dst % 2 = 0')} SELECT src, dst, rank::INT AS rank, {_ANGLE} AS dist FROM found"
+
+ORACLE["ann_recall"] = f"""
+WITH {_CELLS}, {_EXACT}, {_FOUND.format(where='')},
+hits AS (SELECT label, f.dst IS NOT NULL AS hit FROM exact x LEFT JOIN found f ON f.src = x.src AND f.dst = x.dst JOIN e ON e.vec_id = x.src),
+cost AS (SELECT ((SELECT count(*) FROM to_cells) + (SELECT count(*) FROM to_cells t JOIN asks ON place <= probes JOIN own o ON o.cell = t.cell)) / (SELECT n * n FROM s) AS cost)
+SELECT label, count(*) AS n_true, count(*) FILTER (hit) AS n_found, round((SELECT avg(hit::INT) FROM hits), 6) AS recall, (SELECT probes FROM asks)::INT AS probes, round((SELECT cost FROM cost), 6) AS cost
+FROM hits GROUP BY label"""
+
+ORACLE["ann_radius"] = f"""
+WITH {_CELLS}, {_EXACT} SELECT src, dst, {_ANGLE} AS dist FROM pairs WHERE src < dst AND cosine >= cos(0.35 * pi())"""

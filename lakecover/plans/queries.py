@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..functions import kernels as K
 from ..functions import scalar as S
-from ..operators import anomaly, calibrate, certify, cover, graph, metrics, relational, similarity, sketch
+from ..operators import anomaly, calibrate, cells, certify, cover, graph, metrics, relational, similarity, sketch
 from ..operators.checkpoints import shared_folder
 from ..operators.embedding import Nystrom, anchor_count, stratified_anchors
 from ..sources.stores import SketchStore, Store
@@ -536,3 +536,52 @@ def sketch_store_resume(spark, d):
     runs = [jobs.sketch(items, store, Config(sketch_size=256, payload_kind="text"), items) for _ in range(2)]
     return spark.createDataFrame([(n + 1, r.done, r.failed) for n, r in enumerate(runs)], "run int, done long, failed long")
 
+
+
+# -- approximate neighbours
+
+
+def _cells(spark: SparkSession, d: str) -> tuple[cells.CellIndex, DataFrame]:
+    rows = table(spark, d, "embeddings").withColumn("grp", F.lit(0))
+    return cells.build_index(rows, "vec_id", "embedding", "grp"), rows
+
+
+@query
+def ann_cells(spark, d):
+    """Every row's cell, and the cell's size and radius."""
+    index, _ = _cells(spark, d)
+    return index.rows.select("vec_id", "cell").join(index.cells.select("cell", "n", "radius"), "cell").select("vec_id", "cell", "n", r6("radius").alias("radius"))
+
+
+@query
+def ann_knn(spark, d):
+    """The 5 nearest of all rows by the cells that a sample asks for."""
+    index, rows = _cells(spark, d)
+    return index.search(rows, 5, index.tuned_probes(5)).select("src", "dst", "rank", r6("dist").alias("dist"))
+
+
+@query
+def ann_recall(spark, d):
+    """How many of the exact neighbours the index finds, and how many of all products it takes, by label."""
+    index, rows = _cells(spark, d)
+    probes = index.tuned_probes(5)
+    exact = similarity.knn(rows, "vec_id", "embedding", "grp", 5).select("src", "dst")
+    hits = exact.join(index.search(rows, 5, probes).select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
+    share = index.compared(rows, probes).select((F.col("n_compared") / F.lit(rows.count()) ** 2).alias("cost"))
+    found = hits.join(rows.select(F.col("vec_id").alias("src"), "label"), "src").groupBy("label").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+    overall = hits.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return found.crossJoin(F.broadcast(overall)).crossJoin(F.broadcast(share)).select("label", "n_true", "n_found", r6("recall").alias("recall"), F.lit(probes).alias("probes"), r6("cost").alias("cost"))
+
+
+@query
+def ann_filtered(spark, d):
+    """The 5 nearest rows of even ids, filtered before the search."""
+    index, rows = _cells(spark, d)
+    return index.search(rows, 5, index.tuned_probes(5), where=F.col("vec_id") % 2 == 0).select("src", "dst", "rank", r6("dist").alias("dist"))
+
+
+@query
+def ann_radius(spark, d):
+    """All pairs within the angular radius, by the cells that can hold them."""
+    index, rows = _cells(spark, d)
+    return index.within(rows, 0.35).where("src < dst").select("src", "dst", r6("dist").alias("dist"))
