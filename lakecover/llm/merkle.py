@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .exchange import part_count, written
 
 FAN = 8
-STRIDE = 4096  # Nodes of a group that one window holds; a multiple of FAN.
+STRIDE = 512  # Nodes of a group that one window holds; a multiple of FAN.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ROW_BYTES = 200
 STEP = "array<struct<before:string,after:string>>"
