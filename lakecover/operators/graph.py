@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .checkpoints import written
 
+# Numbers of neighbours tried, and what counts as stable, tiny, a tail or a jump.
 LADDER = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 STABLE_WITHIN = 0.03
 TINY_SIDE, TINY_SHARE, TAIL_SHARE, TAIL_MOST, JUMP = 10, 0.005, 0.8, 2, 1.8
@@ -138,7 +139,7 @@ def graph_statistics(n: int, u: np.ndarray, v: np.ndarray, rank: np.ndarray, dis
     near = dist < 1.0
     k_conn = connectivity(n, u, v, rank)
     start = k_conn if k_conn > 0 else k_cap
-    rungs = sorted({k for k in (*LADDER, k_cap) if start <= k <= k_cap} or {k_cap})
+    rungs = rungs_between(start, k_cap)
     trees = {k: spanning_tree(n, u[near & (rank <= k)], v[near & (rank <= k)], dist[near & (rank <= k)]) for k in rungs}
     k_stable = stable_neighbours(trees)
     tree = trees[k_stable]
@@ -178,21 +179,91 @@ def mst_statistics(neighbours: DataFrame, core: DataFrame, group: str, id: str,
     return rows.select(group, *names).distinct(), rows.select(group, F.col("node").alias(id), "component")
 
 
-def boruvka(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Minimum spanning forest (a, b, w) of ``edges(a, b, w)`` of any size: in each round every component takes its lightest edge out.
+KEY_SHIFT = 40  # Nodes of several graphs at once are key << KEY_SHIFT | node.
+FINISH_EDGES = 1_000_000
 
-    Ties are settled by the endpoints, so the lightest edges of a round hold no cycle.
+
+def _local_forests(live: DataFrame) -> DataFrame:
+    """The tree edges that are left of contracted graphs, each in one task."""
+
+    def finish(t: pa.Table) -> pa.Table:
+        ends = np.concatenate([t["ca"].to_numpy(), t["cb"].to_numpy()])
+        _, at = np.unique(ends, return_inverse=True)
+        a, b, w = t["a"].to_numpy(), t["b"].to_numpy(), t["w"].to_numpy()
+        u, v, forest, keep = at[: len(a)], at[len(a) :], Forest(int(at.max(initial=-1)) + 1), []
+        for e in np.lexsort((b, a, w)):
+            if forest.join(int(u[e]), int(v[e])):
+                keep.append(e)
+        return t.select(["key", "a", "b", "w"]).take(pa.array(keep, pa.int64()))
+
+    return live.groupBy("key").applyInArrow(finish, "key int, a long, b long, w double")
+
+
+def spanning_forests(edges: DataFrame, finish: int | None = None, max_rounds: int = 60) -> DataFrame:
+    """Minimum spanning forests (key, a, b, w) of the graphs in ``edges(key int, a long, b long, w double)``, all at once and of any size.
+
+    In each round every component takes its lightest edge out, ties by the endpoints, so that the
+    chosen edges hold no cycle; components become nodes, and of parallel edges the lightest stays.
+    The number of nodes at least halves. Once ``finish`` edges or fewer are left in all, each
+    graph's rest is done in one task. Fails if the rounds don't suffice.
     """
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a < b").groupBy("a", "b").agg(F.min("w").alias("w")))
-    live, tree = edges.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), None
+    finish = FINISH_EDGES if finish is None else finish
+    node = lambda c: F.shiftleft(F.col("key").cast("long"), KEY_SHIFT).bitwiseOR(F.col(c))
+    given = edges.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a < b")
+    live = written(given.groupBy("key", "a", "b").agg(F.min("w").alias("w")).select("key", "a", "b", "w", node("a").alias("ca"), node("b").alias("cb")))
+    tree = live.select("key", "a", "b", "w").limit(0)
     for _ in range(max_rounds):
-        ends = live.select(F.col("ca").alias("c"), F.struct("w", "a", "b").alias("e")).unionByName(live.select(F.col("cb").alias("c"), F.struct("w", "a", "b").alias("e")))
-        best = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
-        chosen = written(best)
-        if not chosen.limit(1).count():
-            break
-        tree = chosen if tree is None else tree.unionByName(chosen)
-        joined = connected_components(tree.select("a", "b"))
-        to = lambda side, name: joined.select(F.col("node").alias(side), F.col("component").alias(name))
-        live = written(edges.join(to("a", "ca"), "a", "left").join(to("b", "cb"), "b", "left").select("a", "b", "w", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb"))
-    return tree.select("a", "b", "w") if tree is not None else edges
+        left = live.count()
+        if left <= finish:
+            return tree.unionByName(_local_forests(live)) if left else tree
+        edge = F.struct("w", "a", "b", "ca", "cb", "key").alias("e")
+        ends = live.select(F.col("ca").alias("c"), edge).unionByName(live.select(F.col("cb").alias("c"), edge))
+        chosen = written(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
+        tree = tree.unionByName(chosen.select("key", "a", "b", "w"))
+        joined = written(connected_components(chosen.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        to = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        moved = live.join(to("ca"), "ca").join(to("cb"), "cb").where("_ca <> _cb").select("key", F.least("_ca", "_cb").alias("ca"), F.greatest("_ca", "_cb").alias("cb"), F.struct("w", "a", "b").alias("e"))
+        live = written(moved.groupBy("key", "ca", "cb").agg(F.min("e").alias("e")).select("key", "e.a", "e.b", "e.w", "ca", "cb"))
+    raise RuntimeError(f"forests not done after {max_rounds} rounds")
+
+
+def boruvka(edges: DataFrame, finish: int | None = None) -> DataFrame:
+    """Minimum spanning forest (a, b, w) of ``edges(a, b, w)`` of any size."""
+    return spanning_forests(edges.select(F.lit(0).alias("key"), "a", "b", F.col("w").cast("double").alias("w")), finish).select("a", "b", "w")
+
+
+def rungs_between(start: int, k_cap: int) -> list[int]:
+    return sorted({k for k in (*LADDER, k_cap) if start <= k <= k_cap} or {k_cap})
+
+
+def large_graph_statistics(edges: DataFrame, n: int, k_cap: int, finish: int | None = None) -> tuple[dict, DataFrame]:
+    """``graph_statistics`` of a graph that no task holds: ``edges(u, v, rank, dist)`` of n nodes; (statistics, labels(node, component)) with a component's smallest node as its name, for nodes that have an edge.
+
+    One pass of ``spanning_forests`` makes the tree by rank and the trees of all rungs.
+    """
+    rungs = F.array(*(F.lit(k) for k in rungs_between(1, k_cap)))
+    by_rank = edges.select(F.lit(0).alias("key"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("rank").cast("double").alias("w"))
+    by_rung = edges.where("dist < 1.0").select(F.explode(F.filter(rungs, lambda k: k >= F.col("rank"))).alias("key"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("dist").alias("w"))
+    trees = written(spanning_forests(by_rank.unionByName(by_rung), finish))
+    told = {r.key: r for r in trees.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("w", "a", "b")).alias("last")).collect()}
+    k_conn = int(told[0].last.w) if n > 1 and 0 in told and told[0].size == n - 1 else -1
+    largest = lambda k: told[k].last.w if k in told else 0.0
+    open_ = rungs_between(k_conn if k_conn > 0 else k_cap, k_cap)
+    reference = largest(open_[-1])
+    k_stable = next(k for k in open_ if reference <= 0 or (largest(k) - reference) / reference <= STABLE_WITHIN)
+    tree, top = written(trees.where(F.col("key") == k_stable)), largest(k_stable)
+    labels = written(connected_components(tree.select("a", "b")))
+    size, second, side, tail = told[k_stable].size if k_stable in told else 0, 0.0, 0, 0
+    if size:
+        last = told[k_stable].last
+        tail = tree.where(F.col("w") >= TAIL_SHARE * top).count()
+        rest = tree.where(~((F.col("a") == last.a) & (F.col("b") == last.b)))
+        second = rest.agg(F.max("w")).first()[0] or 0.0
+        apart = written(connected_components(rest.select("a", "b")))
+        ends = {r.node: r.component for r in apart.where(F.col("node").isin(last.a, last.b)).collect()}
+        side = min((apart.where(F.col("component") == ends[x]).count() if x in ends else 1) for x in (last.a, last.b))
+    lone = tail <= TAIL_MOST or (second > 1e-9 and top / second >= JUMP)
+    return {
+        "n_main": n, "k_conn": k_conn, "k_stable": k_stable, "k_cap": k_cap, "mst_max_edge": top, "mst_w2": second, "bridge_min_side": side, "components": n - size, "low_pair_count": n < 20,
+        "disconnected": n - size > 1, "pathological_bridge": bool(top > 0 and n > 1 and side <= TINY_SIDE and side / n <= TINY_SHARE and lone),
+    }, labels

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import angular_distance_of, dot, euclidean_distance
 
 BLOCK_ROWS = 4096
+DIGITS = 12  # Cosines are compared to so many digits: products of equal vectors may differ beyond, by how rows are dealt to tasks.
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
@@ -66,7 +67,7 @@ def block_join(left: DataFrame, right: DataFrame, id: str, vector: str, group: s
             return pa.table({"g": x["_group"][:0], "src": x["_id"][:0], "dst": x["_id"][:0], "cosine": pa.array([], pa.float64())})
         xi, yi = x["_id"].to_numpy(), y["_id"].to_numpy()
         order = np.argsort(yi, kind="stable")
-        yi, cosines = yi[order], _vectors(x["_v"]) @ _vectors(y["_v"])[order].T
+        yi, cosines = yi[order], np.round(_vectors(x["_v"]) @ _vectors(y["_v"])[order].T, DIGITS)
         if not keep_self:
             cosines[xi[:, None] == yi[None, :]] = -np.inf
         if k is not None:

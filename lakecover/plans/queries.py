@@ -15,7 +15,7 @@ from ..functions import kernels as K
 from ..functions import scalar as S
 from ..operators import anomaly, calibrate, cells, certify, cover, graph, metrics, relational, similarity, sketch
 from ..operators.checkpoints import shared_folder
-from ..operators.embedding import Nystrom, anchor_count, stratified_anchors
+from ..operators.embedding import Nystrom, anchor_count, draws_of, stratified_anchors
 from ..sources.stores import SketchStore, Store
 from ..streaming import incremental
 from . import report
@@ -423,7 +423,7 @@ def nystrom_embedding(spark, d):
     def embed(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(t["doc_id"].to_numpy())))
         first, second = (np.stack([np.frombuffer(s, "<u2") for s in t[c].to_pylist()]) for c in ("signature", "second"))
-        at = stratified_anchors(t["n_real_bins"].to_numpy() / 256, min(200, anchor_count(len(t), 64)))
+        at = stratified_anchors(t["n_real_bins"].to_numpy() / 256, draws_of(t["doc_id"].to_pylist()), min(200, anchor_count(len(t), 64)))
         model, own = Nystrom.fit(first[at], second[at], 64)
         vectors = model.embed(first)
         return pa.table({"lang": t["lang"], "doc_id": t["doc_id"], "dim": pa.array([vectors.shape[1]] * len(t), pa.int32()), "norm": pa.array(np.linalg.norm(vectors, axis=1))})

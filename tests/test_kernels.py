@@ -141,7 +141,7 @@ def test_nystrom_keeps_similarities():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 16, (4, 400), dtype=np.uint16)
     sigs = np.stack([np.where(rng.random(400) < 0.2, rng.integers(0, 1 << 16, 400), base[i % 4]) for i in range(120)]).astype(np.uint16)
-    at = stratified_anchors(rng.random(120), min(60, anchor_count(120, 32)))
+    at = stratified_anchors(rng.random(120), rng.random(120), min(60, anchor_count(120, 32)))
     model, own = Nystrom.fit(sigs[at], dim=32)
     vectors = model.embed(sigs)
     assert np.linalg.norm(vectors, axis=1) == pytest.approx(1) and np.linalg.norm(own, axis=1) == pytest.approx(1)
