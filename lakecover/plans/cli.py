@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import group_key
 from ..sources import manifest as M
 from ..sources import sinks
-from ..sources.stores import PackStore, SketchStore, Store, read_manifest_payloads
+from ..sources.stores import EmbeddingStore, PackStore, SketchStore, Store, read_manifest_payloads
 from . import jobs, report
 from .config import Config
-from .derep import derep
+from .derep import ROUTES, calibrated_run, derep
 
 log = logging.getLogger("lakecover")
 
@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "derep":
             p.add_argument("-z", "--z-threshold", type=float, default=Config.z_threshold)
             p.add_argument("--ani-threshold", type=float, default=Config.ani_threshold)
-            for option in ("selected-taxa", "checkm2", "gunc-scores", "fixed-taxa", "fixed-reps", "sketch-store", "pack-store"):
+            for option in ("selected-taxa", "checkm2", "gunc-scores", "fixed-taxa", "fixed-reps", "sketch-store", "pack-store", "embedding-db"):
                 p.add_argument(f"--{option}")
             p.add_argument("--embedding-dim", type=int, default=Config.embedding_dim)
             p.add_argument("--diversity-threshold", type=float)
@@ -47,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--k-cap-max", type=int, default=Config.k_cap_max)
             p.add_argument("--nystrom-diagonal-loading", type=float, default=Config.nystrom_diagonal_loading)
             p.add_argument("--no-nystrom-degree-normalize", dest="nystrom_degree_normalize", action="store_false")
+            p.add_argument("--borderline", choices=("off", "spec"), default=Config.borderline)
+            p.add_argument("--one-task", type=int, default=Config.one_task, help="items of a group that one task may select")
+            p.add_argument("--auto-calibrate", action="store_true", help="take sketch sizes from a sample of the items")
             p.add_argument("--require-sketches", action="store_true")
             p.add_argument("--incremental", action="store_true")
             p.add_argument("--copy-reps", action="store_true")
@@ -62,7 +65,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         tables = {t: store.read(t) for t in ("results", "diversity_stats", "pipeline_stages")}
         log.info("report: %s", ", ".join(_pages(spark, args, tables)))
         return 0
-    cfg = Config(**{f.name: getattr(args, f.name) for f in fields(Config) if getattr(args, f.name, None) is not None})
+    cfg = Config(**{f.name: getattr(args, f.name) for f in fields(Config) if f.name != "auto_calibrate" and getattr(args, f.name, None) is not None})
     items = M.read_manifest(spark, args.manifest)
     if args.command == "sketch":
         return jobs.sketch(items, SketchStore(store, cfg.kmer_size, cfg.sketch_size, cfg.syncmer_s), cfg).exit_code
@@ -78,12 +81,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         "pinned": args.fixed_reps and M.read_list(spark, args.fixed_reps, "accession", trim=False),
         "sketches": SketchStore(Store(spark, args.sketch_store), cfg.kmer_size, cfg.sketch_size, cfg.syncmer_s).sketches() if args.sketch_store else None,
     }
-    tables = derep(items, payloads.select("accession", "payload"), cfg, **{k: v or None for k, v in sides.items()})
+    if args.auto_calibrate:
+        cfg = calibrated_run(items, payloads, cfg)
+        log.info("calibrated: k %d, %d bins, %d dimensions", cfg.kmer_size, cfg.sketch_size, cfg.embedding_dim)
+    embeddings = EmbeddingStore(Store(spark, args.embedding_db)) if args.embedding_db else None
+    tables = derep(items, payloads.select("accession", "payload"), cfg, embeddings, **{k: v or None for k, v in sides.items()})
     for name, rows in tables.items():
-        keys = store.read(name).columns and name not in ("stats",)
-        store.upsert(name, rows) if keys else store.append(name, rows)
+        store.append(name, rows) if name == "runs" else store.replace_groups(name, rows) if name == "stats" else store.upsert(name, rows)
+    run = tables["runs"].first()
+    log.info("%d items (%s): %d representatives, %d unreadable, %d failed in %.1f s", run.n_items, ", ".join(f"{getattr(run, f'n_{r}')} {r}" for r in ROUTES if getattr(run, f"n_{r}")), run.n_representatives, run.n_unreadable, run.n_failed, run.seconds)
     out = args.out_dir or args.store
-    for suffix, rows in sinks.result_files({t: store.read(t) for t in tables}).items():
+    for suffix, rows in sinks.result_files({t: store.read(t) for t in tables if t != "runs"}).items():
         sinks.write_tsv(rows, f"{out}/{args.prefix}_{suffix}.tsv")
     if args.copy_reps:
         sinks.copy_representatives(store.read("genomes_derep"), payloads.join(items.select("accession", "taxonomy"), "accession") if "taxonomy" not in payloads.columns else payloads, f"{out}/representatives")

@@ -86,3 +86,24 @@ def test_keyed_forests_against_kruskal(spark):
         assert {tuple(r) for r in graph.spanning_forests(df, finish).collect()} == want
     with pytest.raises(RuntimeError):
         graph.spanning_forests(df, 0, max_rounds=1)
+
+
+def test_a_second_run_selects_nothing(spark, ready, tmp_path, monkeypatch):
+    from lakecover.plans import derep as D
+    from lakecover.sources.stores import EmbeddingStore, Store
+
+    rows = ready.withColumn("file", ready.accession).withColumn("taxonomy", ready.grp)
+    store, asked, plain = EmbeddingStore(Store(spark, str(tmp_path))), [], D.select
+    monkeypatch.setattr(D, "select", lambda df, cfg: asked.append(df.count()) or plain(df, cfg))
+    first = written(D.selected_again(rows, CFG, store))
+    second = written(D.selected_again(rows, CFG, store))
+    compared(second, first)
+    assert asked == [ready.count(), 0]
+    changed = rows.withColumn("quality_score", rows.quality_score + (rows.accession == "m03").cast("double"))
+    third = D.selected_again(changed, CFG, store)
+    assert asked[2] == 30 and third.count() == ready.count()
+    assert store.load().count() == first.where("vector is not null").count() == store.index().rows().count()
+    assert store.representatives().count() == third.where("representative").count()
+    query = store.load().where("accession = 'k1-05'").selectExpr("taxonomy as grp", "accession", "embedding")
+    near = [r.dst for r in store.index().search(query, 3, 4).orderBy("rank").collect()]
+    assert near and all(x.startswith("k1-") for x in near)
