@@ -213,12 +213,12 @@ WITH {_MANIFEST}, f AS (SELECT DISTINCT grp FROM g WHERE lang = 'de' AND grp LIK
 r AS (SELECT grp, n, CASE WHEN grp IN (SELECT grp FROM f) THEN 'fixed' WHEN n = 1 THEN 'singleton' WHEN n <= 20 THEN 'tiny' WHEN n <= 50 THEN 'exact' ELSE 'embedded' END AS route FROM s)
 SELECT route, sum(n)::BIGINT AS n_items, count(*) AS n_groups FROM r GROUP BY route"""
 
-ORACLE["incremental_equals_full"] = "SELECT 0::BIGINT AS n_different"
+ORACLE["incremental_equals_full"] = """
+SELECT concat_ws(';s__', lang, source) AS taxonomy, count(*) AS n_full, count(*) AS n_incremental, count(*) AS n_same, true AS represented FROM documents GROUP BY 1"""
 
 ORACLE["streaming_foreach_upsert"] = """
 SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1"""
 
-ORACLE["sketch_store_resume"] = "SELECT 1::INT AS run, count(*) AS done, 0::BIGINT AS failed FROM documents UNION ALL SELECT 2, 0, 0"
 
 _SIGNED = "(CASE WHEN {h} >= 9223372036854775808 THEN {h}::HUGEINT - 18446744073709551616 ELSE {h}::HUGEINT END)::BIGINT"
 
@@ -260,6 +260,22 @@ product AS (SELECT id, xor(word::UHUGEINT, {(SEED_1 + WY_0) % (1 << 64)}::UHUGEI
 h AS (SELECT id, xor(p // 18446744073709551616::UHUGEINT, p % 18446744073709551616::UHUGEINT) AS h FROM product)
 SELECT id AS doc_id, (h * 256::UHUGEINT // 18446744073709551616::UHUGEINT)::BIGINT AS bin, min(h // 4294967296::UHUGEINT)::BIGINT AS low FROM h GROUP BY ALL"""
 
+ORACLE["sketch_store_resume"] = f"""
+WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {_base_words('d', 15)},
+product AS (SELECT id, xor(word::UHUGEINT, {(SEED_1 + WY_0) % (1 << 64)}::UHUGEINT) * xor(word::UHUGEINT, {WY_1}::UHUGEINT) AS p FROM (SELECT DISTINCT id, word FROM words)),
+h AS (SELECT id, xor(p // 18446744073709551616::UHUGEINT, p % 18446744073709551616::UHUGEINT) AS h FROM product),
+bins AS (SELECT id, count(DISTINCT h * 64::UHUGEINT // 18446744073709551616::UHUGEINT) AS n FROM h GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::INT AS n_real_bins, 0::BIGINT AS failed, 0::BIGINT AS done_again FROM documents LEFT JOIN bins ON id = doc_id"""
+
+ORACLE["kmers_in_sql"] = f"""
+WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {_base_words('d', 15)},
+n AS (SELECT lang, id, count(DISTINCT word) AS n_words FROM words JOIN documents ON doc_id = id GROUP BY lang, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_words) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n_docs, min(n_words) OVER (PARTITION BY lang) / max(n_words) OVER (PARTITION BY lang) AS j FROM n)
+SELECT lang, any_value(n_docs) AS n_docs, sum(n_words)::BIGINT AS n_words, max(n_words) FILTER (r = n_docs // 2)::DOUBLE AS median,
+       round(CASE WHEN any_value(j) >= 1 THEN 100 ELSE greatest(70, least(100, 100 * pow(2 * any_value(j) / (1 + any_value(j)), 1.0 / 15))) END, 6) AS ani FROM r GROUP BY lang"""
+
+ORACLE["streaming_last_row_state"] = ORACLE["streaming_foreach_upsert"]
+
 ORACLE["tiny_cover"] = """
 WITH RECURSIVE d AS (SELECT doc_id, concat_ws(';', lang, source) AS grp, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS words FROM documents),
 small AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS r FROM d WHERE grp IN (SELECT grp FROM d GROUP BY grp HAVING count(*) <= 20)),

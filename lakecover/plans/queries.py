@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import kernels as K
+from ..functions import registry
 from ..functions import scalar as S
 from ..operators import anomaly, calibrate, cells, certify, cover, graph, metrics, relational, similarity, sketch
 from ..operators.checkpoints import shared_folder
 from ..operators.embedding import Nystrom, anchor_count, draws_of, stratified_anchors
+from ..sources.buckets import BucketTable
 from ..sources.stores import SketchStore, Store
-from ..streaming import incremental
+from ..streaming import incremental, state
 from . import report
 from .config import Config
 from .derep import derep
@@ -426,10 +429,14 @@ def nystrom_embedding(spark, d):
         at = stratified_anchors(t["n_real_bins"].to_numpy() / 256, draws_of(t["doc_id"].to_pylist()), min(200, anchor_count(len(t), 64)))
         model, own = Nystrom.fit(first[at], second[at], 64)
         vectors = model.embed(first)
-        return pa.table({"lang": t["lang"], "doc_id": t["doc_id"], "dim": pa.array([vectors.shape[1]] * len(t), pa.int32()), "norm": pa.array(np.linalg.norm(vectors, axis=1))})
+        near = np.round(vectors @ vectors.T, 9)
+        np.fill_diagonal(near, -2)
+        to = near.argmax(axis=1)
+        exact = certify.row_jaccard(first, to)
+        return pa.table({"lang": t["lang"], "doc_id": t["doc_id"], "dim": pa.array([vectors.shape[1]] * len(t), pa.int32()), "nearest": t["doc_id"].combine_chunks().take(pa.array(to)), "cosine": pa.array(near[np.arange(len(t)), to]), "jaccard": pa.array(exact)})
 
     kinds = named.select("lang", "doc_id", "signature", "second", "n_real_bins")
-    return kinds.groupBy("lang").applyInArrow(embed, "lang string, doc_id long, dim int, norm double").select("lang", "doc_id", "dim", r6("norm").alias("norm"))
+    return kinds.groupBy("lang").applyInArrow(embed, "lang string, doc_id long, dim int, nearest long, cosine double, jaccard double").select("lang", "doc_id", "dim", "nearest", r6("cosine").alias("cosine"), r6("jaccard").alias("jaccard"))
 
 
 @query
@@ -510,9 +517,12 @@ def incremental_equals_full(spark, d):
     store = Store(spark, shared_folder(spark))
     for part in (0, 1):
         incremental.absorb(items.where(F.col("doc_id") % 2 == part).drop("doc_id"), store, TEXT)
-    full = derep(items.drop("payload", "doc_id"), items.select("accession", "payload"), TEXT)["genomes_derep"].select("accession", "representative", "assigned_rep")
-    parts = store.read("genomes_derep").select("accession", "representative", "assigned_rep")
-    return full.exceptAll(parts).unionByName(parts.exceptAll(full)).agg(F.count("*").alias("n_different"))
+    full = derep(items.drop("payload", "doc_id"), items.select("accession", "payload"), TEXT)["genomes_derep"].select("accession", "taxonomy", "representative", "assigned_rep")
+    parts = store.read("genomes_derep").select(F.col("accession").alias("a"), F.col("representative").alias("r"), F.col("assigned_rep").alias("s"))
+    same = F.coalesce((F.col("representative") == F.col("r")) & F.col("assigned_rep").eqNullSafe(F.col("s")), F.lit(False))
+    both = full.join(parts, F.col("accession") == F.col("a"), "full").withColumn("taxonomy", F.coalesce("taxonomy", F.lit("absent")))
+    reps = F.count_if("representative") > 0
+    return both.groupBy("taxonomy").agg(F.count("accession").alias("n_full"), F.count("a").alias("n_incremental"), F.count_if(same).alias("n_same"), reps.alias("represented"))
 
 
 @query
@@ -526,17 +536,51 @@ def streaming_foreach_upsert(spark, d):
     return store.read("last_events").select("user_id", "event_id", "event_type", r6("value").alias("value"))
 
 
+@query
+def streaming_last_row_state(spark, d):
+    """The last event of each user from keyed state, its changes brought into a bucketed table by two runs over one checkpoint."""
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    folder = shared_folder(spark)
+    held = BucketTable(spark, f"{folder}/last", ("user_id",))
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        state.upserted(state.last_rows(arriving, ["user_id"], "event_id"), held, ["user_id"], f"{folder}/checkpoint").awaitTermination()
+    return held.read().select("user_id", "event_id", "event_type", r6("value").alias("value"))
+
+
 @query
 def sketch_store_resume(spark, d):
-    """Sketches of two runs over one store: the second finds nothing to do."""
+    """The store's sketches after two runs over one collection, with what the second run still did (nothing)."""
     items = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("accession"), F.col("lang").alias("taxonomy"), F.col("source").alias("file"), F.encode("text", "utf-8").alias("payload"))
     from . import jobs
 
-    store = SketchStore(Store(spark, shared_folder(spark)), 21, 256)
-    runs = [jobs.sketch(items, store, Config(sketch_size=256, payload_kind="text"), items) for _ in range(2)]
-    return spark.createDataFrame([(n + 1, r.done, r.failed) for n, r in enumerate(runs)], "run int, done long, failed long")
+    sketches = SketchStore(Store(spark, shared_folder(spark)), 15, 64)
+    runs = [jobs.sketch(items, sketches, Config(kmer_size=15, sketch_size=64, payload_kind="text"), items) for _ in range(2)]
+    return sketches.sketches().select(F.col("accession").cast("long").alias("doc_id"), "n_real_bins", F.lit(runs[0].failed).cast("long").alias("failed"), F.lit(runs[1].done).cast("long").alias("done_again"))
 
 
+@query
+def kmers_in_sql(spark, d):
+    """Distinct words and identities by registered functions, in SQL text alone."""
+    registry.register(spark)
+    return spark.sql(
+        """WITH w AS (SELECT d.lang, d.doc_id, k.word FROM {docs} d, LATERAL kmers(d.text, 15) k),
+        n AS (SELECT lang, doc_id, count(*) AS n_words FROM w GROUP BY lang, doc_id),
+        t AS (SELECT lang, count(*) AS n_docs, sum(n_words) AS n_words, min(n_words) / max(n_words) AS j FROM n GROUP BY lang),
+        m AS (SELECT lang, upper_median(n_words) AS median FROM n GROUP BY lang)
+        SELECT lang, n_docs, n_words, median, round(jaccard_ani(j, 15), 6) AS ani FROM t JOIN m USING (lang)""",
+        docs=table(spark, d, "documents"),
+    )
+
+
+@query
+def derep_large_groups(spark, d):
+    """Selection by language, where groups of more than 500 items are dealt to many tasks."""
+    items = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("accession"), F.col("lang").alias("taxonomy"), F.col("source").alias("file"), F.col("text").alias("payload"))
+    chosen = derep(items.drop("payload"), items.select("accession", "payload"), replace(TEXT, sketch_size=256, one_task=500))["genomes_derep"]
+    return chosen.select("accession", "taxonomy", "representative", "assigned_rep", r6("ani_to_rep").alias("ani_to_rep"))
+
 
 # -- approximate neighbours
 
