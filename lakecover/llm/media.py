@@ -195,7 +195,7 @@ def media_table(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or shared_folder(docs.sparkSession)
     members = write_shards(docs, folder)
     found = media_features(media_columns(by_shard(canonical_places(members)), folder), folder)
-    each = members.select("digest", F.explode("refs").alias("ref"))
-    return each.join(found, "digest").select(
+    held = members.select("digest", "refs").join(found, "digest")  # members meet, then each makes its rows: a text of many rows is one member a shard
+    return held.withColumn("ref", F.explode("refs")).select(
         "ref.doc_id", "ref.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset", "length",
     )
