@@ -104,7 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
     Returns all columns of ``docs`` but clashing ones, and n_words, n_hit, n_items,
     items_sha256 (of the item ids as strings, sorted, comma-joined), contaminated, and with
     ``clean`` clean_text: the text without the hit runs (null stays null). A null text has no
-    words; an item without words has no windows; a null item id is in no list. Equal rows get
+    words; an item without words has no windows; a null item id is in no list; repeated items count once. Equal rows get
     equal results. Columns of ``docs`` may have any other names. A long text is scanned whole, as
     one run of words. An empty table of either kind is allowed.
     """
@@ -113,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: boo
     names = kept.columns
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (block_bytes // 2)))
     hits_, items_ = private(names, "hits", "items")
