@@ -291,3 +291,23 @@ def test_repair_query_against_sql(spark, tmp_path):
 
 def test_repair_of_nothing(spark):
     assert C.repair_conversations(C.damaged(spark.createDataFrame([], TALK))).count() == 0
+
+
+def test_equal_items_are_one(spark):
+    from lakecover.llm.decontaminate import decontaminate
+
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")] * 400, "item_id long, text string")
+    got = decontaminate(spark.createDataFrame([(5, "ONE two three four five six seven eight nine ten eleven")], "doc_id long, text string"), items, block_bytes=4000)
+    assert [(r.n_hit, r.n_items) for r in got.collect()] == [(10, 1)]
+    assert not [x for x in got.inputFiles() if "lakecover" in x]  # one block: nothing was written in between
+
+
+def test_rows_of_one_text_meet_after_the_join(spark):
+    from lakecover.llm.media import media_table
+
+    docs = spark.createDataFrame([(i, None if i % 2 else f"text {i % 6}") for i in range(600)], "doc_id long, text string").repartition(4)
+    table = media_table(docs)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner")
+    rows = table.collect()
+    assert len(rows) == 600 and len({r.digest for r in rows}) == 4 and Counter(r.doc_id for r in rows) == Counter(range(600))
