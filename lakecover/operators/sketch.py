@@ -62,7 +62,84 @@ def sketch_payloads(items: DataFrame, id: str, payload: str, *, k: int = 21, bin
     return items.select(id, payload).mapInArrow(run, f"{id} {kinds[id]}, {SKETCH}" + ", second binary" * second)
 
 
-def retrying(read: Callable[[], bytes], tries: int = 3, waits: tuple[float, ...] = (0.5, 1.0)) -> bytes:
+class PartialSketch:
+    """The sketch of a FASTA file from pieces of it: words across pieces are carried over, minima by bin are merged.
+
+    Memory is one piece and the bins, whatever the file's size; the result is that of ``sketch_payloads`` over the whole.
+    """
+
+    def __init__(self, k: int, bins: int, syncmer: int = 0, second: bool = False):
+        self.k, self.syncmer, self.seeds = k, syncmer, (K.SEED_1, K.SEED_2) if second else (K.SEED_1,)
+        self.minima = [np.full(bins, K.EMPTY, np.uint32) for _ in self.seeds]
+        self.carried = np.zeros(0, np.uint8)
+        self.bases = self.contigs = 0
+        self.at_line_start, self.in_header = True, False
+
+    def add(self, piece: bytes) -> None:
+        if self.in_header:
+            end = piece.find(b"\n")
+            if end < 0:
+                return
+            piece, self.in_header, self.at_line_start = piece[end + 1 :], False, True
+        if not piece:
+            return
+        codes, bases, contigs = K.base_codes(piece if self.at_line_start else b"\r" + piece)
+        self.bases, self.contigs = self.bases + bases, self.contigs + contigs
+        line = piece.rfind(b"\n") + 1
+        self.in_header = piece[line : line + 1] == b">" and (line > 0 or self.at_line_start)
+        self.at_line_start = line == len(piece)
+        codes = np.concatenate([self.carried, codes])
+        self.carried = codes[max(0, len(codes) - self.k + 1) :]
+        words = K.syncmers(codes, self.k, self.syncmer) if self.syncmer else K.canonical_kmers(codes, self.k)
+        for seed, low in zip(self.seeds, self.minima, strict=True):
+            np.minimum(low, K.one_permutation(words, len(low), seed)[0], out=low)
+
+    def merge(self, other: PartialSketch) -> None:
+        """Takes in the sketch of other sequences, such as those of another file of the item."""
+        for low, more in zip(self.minima, other.minima, strict=True):
+            np.minimum(low, more, out=low)
+        self.bases, self.contigs = self.bases + other.bases, self.contigs + other.contigs
+
+    def result(self, densify: bool = True) -> dict[str, object]:
+        packed = [(K.densify(m) if densify else m).astype(np.uint16).astype("<u2").tobytes() for m in self.minima]
+        real = self.minima[0] != K.EMPTY
+        made = {"signature": packed[0], "real": np.packbits(real, bitorder="little").tobytes(), "genome_length": self.bases, "n_real_bins": int(real.sum()), "n_contigs": self.contigs, "error": None}
+        return made | ({"second": packed[1]} if len(packed) > 1 else {})
+
+
+def sketch_files(items: DataFrame, id: str, file: str, *, k: int = 21, bins: int = 10_000, syncmer: int = 0, second: bool = False, piece: int | None = None) -> DataFrame:
+    """``sketch_payloads`` for files that tasks read themselves, piece by piece: no file is held whole, nor sent between processes.
+
+    A read that fails is tried again from the start of its file; an item that can't be read is an error row.
+    """
+    from ..sources.streams import CHUNK, chunks, opened
+
+    kinds, names = dict(items.dtypes), [c.split()[0] for c in SKETCH.split(", ")] + ["second"] * second
+    types = {"signature": pa.binary(), "real": pa.binary(), "genome_length": pa.int64(), "n_real_bins": pa.int32(), "n_contigs": pa.int32(), "error": pa.string(), "second": pa.binary()}
+
+    def one(path: str) -> dict[str, object]:
+        made = PartialSketch(k, bins, syncmer, second)
+        with opened(path) as stream:
+            for content in chunks(stream, piece or CHUNK):
+                made.add(content)
+        return made.result()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict[str, object]] = []
+            for path in batch[file].to_pylist():
+                try:
+                    if path is None:
+                        raise ValueError("no file")
+                    out.append(retrying(lambda path=path: one(path)))
+                except Exception as e:
+                    out.append({"error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pydict({id: batch[id]} | {c: pa.array([r.get(c) for r in out], types[c]) for c in names})
+
+    return items.select(id, file).mapInArrow(run, f"{id} {kinds[id]}, {SKETCH}" + ", second binary" * second)
+
+
+def retrying[R](read: Callable[[], R], tries: int = 3, waits: tuple[float, ...] = (0.5, 1.0)) -> R:
     """A read that is tried again after growing waits."""
     for n in range(tries):
         try:

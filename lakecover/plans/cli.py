@@ -71,6 +71,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return jobs.sketch(items, SketchStore(store, cfg.kmer_size, cfg.sketch_size, cfg.syncmer_s), cfg).exit_code
     if args.command == "pack":
         return jobs.pack(items, PackStore(store)).exit_code
+    if store.exists("pipeline_stages") and (n := store.promote_finished()):
+        log.info("%d groups of older runs are complete", n)
     if args.incremental:  # stages go by group, which for an unresolved species is the item's own
         done = store.read("pipeline_stages").where("error_message is null").select(F.col("taxonomy").alias("_done"))
         items = items.withColumn("_done", group_key(F.col("taxonomy"), F.col("accession"))).join(done, "_done", "left_anti").drop("_done")

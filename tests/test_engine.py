@@ -132,7 +132,9 @@ def test_command_line(spark, tmp_path):
     assert [r.accession for r in store.read("jobs_failed").collect()] == ["gone"]
     page = (tmp_path / "out" / "results_report.html").read_text()
     assert json.loads(page.split('type="application/json">')[1].split("</script>")[0])["totals"]["n_taxa"] == 2
-    assert (tmp_path / "out" / "results_derep_genomes.tsv").is_dir()
+    rows = [x.split("\t") for x in (tmp_path / "out" / "results_derep_genomes.tsv").read_text().splitlines()]
+    assert rows[0] == ["accession", "taxonomy", "file", "representative"] and [r[:2] for r in rows[1:]] == sorted([r[:2] for r in rows[1:]], key=lambda r: r[::-1]) and len(rows) == 9
+    assert len((tmp_path / "out" / "results_stats.tsv").read_text().splitlines()) == 6 and store.read("runs").first().n_items == 9
 
 
 def test_pages_of_the_report_list_every_group(spark):
