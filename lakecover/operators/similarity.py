@@ -101,10 +101,10 @@ def radius_join(df: DataFrame, id: str, vector: str, group: str, radius: float)
 
 
 def nearest_representative(df: DataFrame, representatives: DataFrame, id: str, vector: str, group: str, k: int = 1) -> DataFrame:
-    """(group, id, rep, rank, dist): the k nearest representatives of each row, itself allowed."""
+    """(group, id, rep, rank, dist): the k nearest representatives of each row, itself allowed and then at distance 0."""
     near = block_join(df, representatives, id, vector, group, k=k, keep_self=True)
     rank = F.row_number().over(W.partitionBy(group, "src").orderBy(F.desc("cosine"), "dst"))
-    return near.select(group, F.col("src").alias(id), F.col("dst").alias("rep"), rank.alias("rank"), angular_distance_of(F.col("cosine")).alias("dist"))
+    return near.select(group, F.col("src").alias(id), F.col("dst").alias("rep"), rank.alias("rank"), F.when(F.col("src") == F.col("dst"), 0.0).otherwise(angular_distance_of(F.col("cosine"))).alias("dist"))
 
 
 def all_pairs(df: DataFrame, id: str, vector: str, group: str) -> DataFrame:

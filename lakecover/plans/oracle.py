@@ -1,6 +1,6 @@
 """The catalogue's queries as DuckDB SQL, where SQL can express them."""
 
-from ..functions.kernels import MURMUR_1, MURMUR_2, SEED_1, WY_0, WY_1
+from ..functions.kernels import MURMUR_1, MURMUR_2, SEED_1, SPLITMIX_1, SPLITMIX_2, WY_0, WY_1
 
 ORACLE: dict[str, str] = {}
 
@@ -153,18 +153,38 @@ SELECT vec_id, coalesce(component, vec_id) AS component FROM embeddings LEFT JOI
 
 ORACLE["radius_join_reps"] = f"WITH {_PAIRS} SELECT label, src, dst, round(dist, 6) AS dist FROM near WHERE src < dst AND cosine >= cos(0.4 * pi())"
 
-_FIRST = "first AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings)"
+ORACLE["fps_batched"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+step(label, vec_id, v, best, rep, pick, picked, round) AS (
+    SELECT label, vec_id, v, CASE WHEN vec_id = first_value(vec_id) OVER w THEN greatest(1.0, list_dot_product(v, v)) ELSE list_dot_product(v, first_value(v) OVER w) END,
+           first_value(vec_id) OVER w, CASE WHEN row_number() OVER w = 1 THEN 0 END, 1, 0
+    FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)
+    UNION ALL
+    SELECT label, vec_id, v, CASE WHEN own THEN greatest(1.0, best, list_max(dots)) ELSE greatest(best, list_max(dots)) END,
+           CASE WHEN own THEN vec_id WHEN list_max(dots) > best THEN fresh[list_position(dots, list_max(dots))].id ELSE rep END,
+           CASE WHEN own THEN (picked + place - 1)::INT ELSE pick END, picked + len(fresh)::INT, round + 1
+    FROM (
+        SELECT *, open AND place <= 16 AS own, list_transform(fresh, lambda x: list_dot_product(v, x.v)) AS dots
+        FROM (
+            SELECT *, list({'place': place, 'id': vec_id, 'v': v} ORDER BY place) FILTER (open AND place <= 16) OVER (PARTITION BY label) AS fresh
+            FROM (SELECT *, row_number() OVER (PARTITION BY label, open ORDER BY best, vec_id) AS place FROM (SELECT *, pick IS NULL AND best <= cos(0.45 * pi()) AS open FROM step))
+        )
+    ) WHERE len(fresh) > 0
+)
+SELECT label, vec_id, arg_max(pick, round) AS pick, arg_max(rep, round) AS rep, round(arg_max(best, round), 6) AS cosine FROM step GROUP BY label, vec_id"""
+
+_FIRST = f"first AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT vec_id FROM ({ORACLE['fps_batched']}) WHERE pick IS NOT NULL))"
 _ASSIGNED = f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), {_FIRST},
 scored AS (
-    SELECT e.label, e.vec_id, f.vec_id AS rep, list_dot_product(e.v, f.embedding::DOUBLE[]) AS cosine FROM e JOIN first f ON f.label = e.label AND f.r <= 3
+    SELECT e.label, e.vec_id, f.vec_id AS rep, list_dot_product(e.v, f.embedding::DOUBLE[]) AS cosine FROM e JOIN first f ON f.label = e.label
 ), assigned AS (
-    SELECT label, vec_id, rep, acos(greatest(-1, least(1, cosine))) / pi() AS dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, rep) AS k FROM scored) WHERE k = 1
+    SELECT label, vec_id, rep, CASE WHEN vec_id = rep THEN 0 ELSE acos(greatest(-1, least(1, cosine))) / pi() END AS dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, rep) AS k FROM scored) WHERE k = 1
 )"""
 
 ORACLE["nearest_rep_assignment"] = f"WITH {_ASSIGNED} SELECT label, vec_id, rep, round(dist, 6) AS dist FROM assigned"
 
 ORACLE["rep_merge_components"] = f"""
-WITH RECURSIVE {_PAIRS}, {_FIRST}, top AS (SELECT vec_id FROM first WHERE r <= 20),
+WITH RECURSIVE {_PAIRS}, {_FIRST}, top AS (SELECT vec_id FROM first),
 close AS (SELECT src, dst FROM near WHERE cosine >= cos(0.42 * pi()) AND src IN (SELECT vec_id FROM top) AND dst IN (SELECT vec_id FROM top)), {_COMPONENTS.format(edges='close')}
 SELECT component AS survivor, count(*) AS n FROM comp GROUP BY component"""
 
@@ -178,7 +198,7 @@ b99 AS coverage_below_99, b98 AS coverage_below_98, b97 AS coverage_below_97, b9
 ORACLE["coverage_gate"] = f"WITH {_ASSIGNED} SELECT vec_id, round(ani, 6) AS ani FROM (SELECT vec_id, {ani('dist')} AS ani FROM assigned) WHERE ani < 95"
 
 ORACLE["rep_diversity_pairs"] = f"""
-WITH {_PAIRS}, {_FIRST}, top AS (SELECT vec_id FROM first WHERE r <= 10),
+WITH {_PAIRS}, {_FIRST}, top AS (SELECT vec_id FROM first),
 p AS (SELECT label, dist, row_number() OVER (PARTITION BY label ORDER BY dist) - 1 AS r, count(*) OVER (PARTITION BY label) AS n
       FROM near WHERE src < dst AND src IN (SELECT vec_id FROM top) AND dst IN (SELECT vec_id FROM top)),
 m AS (SELECT label, avg(dist) AS mean, any_value(n) AS n, max(dist) FILTER (r = n * 5 // 100) AS p5, max(dist) FILTER (r = n * 95 // 100) AS p95 FROM p GROUP BY label)
@@ -291,26 +311,6 @@ last AS (SELECT grp, arg_max(chosen, r) AS chosen FROM step GROUP BY grp),
 picked AS (SELECT grp, unnest(chosen) AS r, unnest(range(len(chosen))) AS pick FROM last)
 SELECT grp, doc_id, pick::INT AS pick FROM picked JOIN small USING (grp, r)"""
 
-ORACLE["fps_batched"] = """
-WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-step(label, vec_id, v, best, rep, pick, picked, round) AS (
-    SELECT label, vec_id, v, CASE WHEN vec_id = first_value(vec_id) OVER w THEN greatest(1.0, list_dot_product(v, v)) ELSE list_dot_product(v, first_value(v) OVER w) END,
-           first_value(vec_id) OVER w, CASE WHEN row_number() OVER w = 1 THEN 0 END, 1, 0
-    FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)
-    UNION ALL
-    SELECT label, vec_id, v, CASE WHEN own THEN greatest(1.0, best, list_max(dots)) ELSE greatest(best, list_max(dots)) END,
-           CASE WHEN own THEN vec_id WHEN list_max(dots) > best THEN fresh[list_position(dots, list_max(dots))].id ELSE rep END,
-           CASE WHEN own THEN (picked + place - 1)::INT ELSE pick END, picked + len(fresh)::INT, round + 1
-    FROM (
-        SELECT *, open AND place <= 16 AS own, list_transform(fresh, lambda x: list_dot_product(v, x.v)) AS dots
-        FROM (
-            SELECT *, list({'place': place, 'id': vec_id, 'v': v} ORDER BY place) FILTER (open AND place <= 16) OVER (PARTITION BY label) AS fresh
-            FROM (SELECT *, row_number() OVER (PARTITION BY label, open ORDER BY best, vec_id) AS place FROM (SELECT *, pick IS NULL AND best <= cos(0.45 * pi()) AS open FROM step))
-        )
-    ) WHERE len(fresh) > 0
-)
-SELECT label, vec_id, arg_max(pick, round) AS pick, arg_max(rep, round) AS rep, round(arg_max(best, round), 6) AS cosine FROM step GROUP BY label, vec_id"""
-
 _CELLS = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, ('0x' || substr(md5(vec_id::VARCHAR), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS h FROM embeddings),
 s AS (SELECT count(*)::DOUBLE AS n, min(h) AS low FROM e),
 c AS (SELECT vec_id AS cell, v AS cv FROM e, s WHERE h <= greatest(2.0 * sqrt(n) / n, low)),
@@ -346,3 +346,113 @@ FROM hits GROUP BY label"""
 
 ORACLE["ann_radius"] = f"""
 WITH {_CELLS}, {_EXACT} SELECT src, dst, {_ANGLE} AS dist FROM pairs WHERE src < dst AND cosine >= cos(0.35 * pi())"""
+
+# Spanning forests by adding edges in order; labels of a graph's nodes are a list, which each joining edge rewrites.
+# Takes node(label, vec_id, at) and links(label, rung, a, b, w); gives tree(label, rung, a, b, w, side), side the smaller of the joined.
+_FORESTS = """ordered AS (
+    SELECT l.*, x.at AS u, y.at AS v, row_number() OVER (PARTITION BY l.label, rung ORDER BY w, a, b) AS i
+    FROM links l JOIN node x ON x.label = l.label AND x.vec_id = a JOIN node y ON y.label = l.label AND y.vec_id = b
+), step(label, rung, i, a, b, w, joined, side, labels) AS (
+    SELECT label, rung, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, false, 0::BIGINT, range(1, n + 1)
+    FROM (SELECT DISTINCT label, rung FROM links) JOIN (SELECT label, count(*) AS n FROM node GROUP BY label) USING (label)
+    UNION ALL
+    SELECT s.label, s.rung, o.i, o.a, o.b, o.w, s.labels[o.u] <> s.labels[o.v],
+           least(len(list_filter(s.labels, lambda x: x = s.labels[o.u])), len(list_filter(s.labels, lambda x: x = s.labels[o.v]))),
+           CASE WHEN s.labels[o.u] = s.labels[o.v] THEN s.labels ELSE list_transform(s.labels, lambda x: CASE WHEN x = s.labels[o.v] THEN s.labels[o.u] ELSE x END) END
+    FROM step s JOIN ordered o ON o.label = s.label AND o.rung = s.rung AND o.i = s.i + 1
+), tree AS (SELECT label, rung, a, b, w, i, side FROM step WHERE joined)"""
+
+ORACLE["mst_distributed"] = f"""
+WITH RECURSIVE {_PAIRS}, node AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS at FROM e),
+links AS (SELECT label, 0 AS rung, least(src, dst) AS a, greatest(src, dst) AS b, min(dist) AS w FROM near WHERE rank <= 10 GROUP BY ALL), {_FORESTS}
+SELECT a, b, round(w, 6) AS w FROM tree"""
+
+_RUNGS = "(VALUES (1), (2), (3), (4), (6), (8), (12), (16), (20)) r(rung)"  # those of the ladder below 20 neighbours, and 20
+_GRAPHS = f"""{_CORE}, node AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS at FROM core),
+inner_edges AS (
+    SELECT near.label, least(src, dst) AS a, greatest(src, dst) AS b, min(rank) AS rank, min(dist) AS dist
+    FROM near JOIN node x ON x.vec_id = src JOIN node y ON y.vec_id = dst WHERE rank <= 20 GROUP BY ALL
+), links AS (
+    SELECT label, 0 AS rung, a, b, rank::DOUBLE AS w FROM inner_edges UNION ALL SELECT label, rung, a, b, dist FROM inner_edges JOIN {_RUNGS} ON rank <= rung WHERE dist < 1
+), {_FORESTS}, size AS (SELECT label, count(*) AS n FROM node GROUP BY label),
+conn AS (SELECT label, n, CASE WHEN count(w) = n - 1 THEN max(w)::INT ELSE -1 END AS k_conn FROM size LEFT JOIN tree USING (label) WHERE coalesce(rung, 0) = 0 GROUP BY label, n),
+tops AS (SELECT label, rung, max(w) AS top FROM tree WHERE rung > 0 GROUP BY label, rung),
+stable AS (
+    SELECT label, n, k_conn, min(rung) AS k_stable FROM conn JOIN tops t USING (label) JOIN (SELECT label, top AS reference FROM tops WHERE rung = 20) USING (label)
+    WHERE rung >= CASE WHEN k_conn > 0 THEN k_conn ELSE 20 END AND (reference <= 0 OR (top - reference) / reference <= 0.03) GROUP BY label, n, k_conn
+), shape AS (
+    SELECT label, n, k_conn, k_stable, max(w) AS top, coalesce(max(w) FILTER (place = 2), 0) AS w2, arg_max(side, i) AS side, n - count(*) AS components, count(*) FILTER (w >= 0.8 * largest) AS tail
+    FROM (
+        SELECT s.*, t.w, t.i, t.side, row_number() OVER (PARTITION BY s.label ORDER BY t.i DESC) AS place, max(t.w) OVER (PARTITION BY s.label) AS largest
+        FROM stable s JOIN tree t ON t.label = s.label AND t.rung = s.k_stable
+    ) GROUP BY label, n, k_conn, k_stable
+)"""
+
+ORACLE["knn_k_conn"] = f"WITH RECURSIVE {_GRAPHS} SELECT label, n AS n_main, k_conn::INT AS k_conn, k_stable::INT AS k_stable, components > 1 AS disconnected FROM shape"
+
+ORACLE["mst_bottleneck"] = f"""
+WITH RECURSIVE {_GRAPHS} SELECT label, n AS n_main, round(top, 6) AS mst_max_edge, round(w2, 6) AS mst_w2, side::INT AS bridge_min_side, components::INT AS components,
+top > 0 AND side <= 10 AND side / n <= 0.005 AND (tail <= 2 OR (w2 > 1e-9 AND top / w2 >= 1.8)) AS pathological_bridge FROM shape"""
+
+
+ORACLE["theta_resolution"] = f"""
+WITH RECURSIVE {_GRAPHS},
+firsts AS (SELECT label, dist, row_number() OVER (PARTITION BY label ORDER BY dist) - 1 AS r, count(*) OVER (PARTITION BY label) AS m FROM near WHERE rank = 1),
+tails AS (SELECT label, max(dist) FILTER (r = m * 5 // 100) AS p5, max(dist) FILTER (r = m * 95 // 100) AS p95 FROM firsts GROUP BY label),
+told AS (
+    SELECT label, p5, greatest(1e-6, least(0.45, CASE WHEN n < 20 OR components > 1 OR top <= 0 OR (side <= 10 AND side / n <= 0.005 AND (tail <= 2 OR (w2 > 1e-9 AND top / w2 >= 1.8))) THEN p95 ELSE top END)) AS theta
+    FROM shape JOIN tails USING (label)
+)
+SELECT label, round(theta, 6) AS theta, round(least(p5, theta / 4), 6) AS least FROM told"""
+
+_ALL = "18446744073709551616::UHUGEINT"
+
+
+def _filled(before: str, t: str) -> str:
+    """An empty bin's value from its neighbour's: the upper half of the finaliser of the neighbour's value and the bin's number."""
+    first = f"list_transform([xor(({before})::UHUGEINT, ({t})::UHUGEINT)], lambda x: xor(x, x // {1 << 30}::UHUGEINT) * {SPLITMIX_1}::UHUGEINT % {_ALL})"
+    second = f"list_transform({first}, lambda y: xor(y, y // {1 << 27}::UHUGEINT) * {SPLITMIX_2}::UHUGEINT % {_ALL})"
+    return f"list_transform({second}, lambda z: (xor(z, z // {1 << 31}::UHUGEINT) // {1 << 32}::UHUGEINT)::UHUGEINT)[1]"
+
+
+def _signatures(bins: int) -> str:
+    """sig(id, n_real_bins, sig): filled 16-bit signatures of words(id, word) for the texts d(id, text); bins filled from the left, then those before the first from the right."""
+    left = f"list_reduce(list_transform(lows, lambda v: [v]), lambda a, b: list_append(a, coalesce(b[1], {_filled('a[len(a)]', 'len(a)')})))"
+    right = f"list_reverse(list_reduce(list_transform(list_reverse(part), lambda v: [v]), lambda a, b: list_append(a, coalesce(b[1], {_filled('a[len(a)]', f'{bins} - 1 - len(a)')}))))"
+    return f"""product AS (SELECT id, xor(word::UHUGEINT, {(SEED_1 + WY_0) % (1 << 64)}::UHUGEINT) * xor(word::UHUGEINT, {WY_1}::UHUGEINT) AS p FROM (SELECT DISTINCT id, word FROM words)),
+h AS (SELECT id, xor(p // {_ALL}, p % {_ALL}) AS h FROM product),
+minima AS (SELECT id, (h * {bins}::UHUGEINT // {_ALL})::BIGINT AS bin, (min(h // 4294967296::UHUGEINT))::UHUGEINT AS low FROM h GROUP BY ALL),
+grid AS (SELECT d.id, list(low ORDER BY t) AS lows, count(low) AS n_real_bins FROM d CROSS JOIN (SELECT unnest(range({bins})) AS t) LEFT JOIN minima m ON m.id = d.id AND m.bin = t GROUP BY d.id),
+partly AS (SELECT id, n_real_bins, {left} AS part FROM grid),
+sig AS (SELECT id, n_real_bins, list_transform({right}, lambda v: coalesce(v % 65536::UHUGEINT, 65535::UHUGEINT)::INT) AS sig FROM partly)"""
+
+
+_MD5 = "md5(unhex(list_aggregate(list_transform(sig, lambda v: format('{:02x}{:02x}', v % 256, v // 256)), 'string_agg', '')))"
+_TEXTS = "d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)"
+
+ORACLE["oph_sketch_vectorized"] = f"""
+WITH {_TEXTS}, {_base_words('d', 21)}, {_signatures(256)}, bases AS (SELECT id, count(code) AS n FROM codes GROUP BY id)
+SELECT id AS doc_id, {_MD5} AS signature, coalesce(n, 0)::BIGINT AS genome_length, n_real_bins::INT AS n_real_bins, 0::INT AS n_contigs FROM sig LEFT JOIN bases USING (id)"""
+
+ORACLE["oph_jaccard_pairs"] = f"""
+WITH {_TEXTS}, {_base_words('d', 21)}, {_signatures(256)}, named AS (SELECT id, sig, concat_ws(';', lang, source) AS grp FROM sig JOIN documents ON doc_id = id),
+pairs AS (SELECT a.grp, a.id AS a, b.id AS b, list_sum(list_transform(range(1, 257), lambda t: (a.sig[t] = b.sig[t])::INT)) / 256 AS share FROM named a JOIN named b ON a.grp = b.grp AND a.id < b.id)
+SELECT grp, a, b, round(j, 6) AS jaccard FROM (SELECT *, greatest(0, (share - 1.0::DOUBLE / 65536) / (1 - 1.0::DOUBLE / 65536)) AS j FROM pairs) WHERE j > 0.05"""
+
+
+def _code(k: int) -> str:
+    forward, backward = " + ".join(f"c{i} * {4**i}" for i in range(k)), " + ".join(f"(3 - c{i}) * {4 ** (k - 1 - i)}" for i in range(k))
+    return f"least({forward}, {backward})"
+
+
+ORACLE["syncmer_sketch"] = f"""
+WITH {_TEXTS}, points AS (SELECT id, unnest(list_transform(string_split(text, ''), lambda x: unicode(x))) AS p, unnest(range(len(text))) AS i FROM d),
+codes AS (SELECT id, i, CASE WHEN p NOT BETWEEN 48 AND 57 THEN p::BIGINT % 4 END AS code FROM points WHERE p <> 10),
+recent AS (SELECT id, i, {", ".join(f"lag(code, {j}) OVER w AS c{j}" for j in range(21))} FROM codes WINDOW w AS (PARTITION BY id ORDER BY i)),
+both_ AS (SELECT id, i, {_code(21)} AS word, xor({_code(11)}, {SEED_1}) AS small FROM recent),
+words AS (
+    SELECT id, word FROM (
+        SELECT id, word, lag(small, 10) OVER w < min(small) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS open FROM both_ WINDOW w AS (PARTITION BY id ORDER BY i)
+    ) WHERE open AND word IS NOT NULL
+), {_signatures(256)}
+SELECT id AS doc_id, {_MD5} AS signature, n_real_bins::INT AS n_real_bins FROM sig"""

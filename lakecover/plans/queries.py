@@ -297,13 +297,14 @@ def radius_join_reps(spark, d):
     return similarity.radius_join(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.4).select("label", "src", "dst", r6("dist").alias("dist"))
 
 
-def _first_ids(spark: SparkSession, d: str, count: int = 3) -> DataFrame:
+def _cover(spark: SparkSession, d: str) -> DataFrame:
+    """The representatives that the farthest-point cover chooses."""
     e = table(spark, d, "embeddings")
-    return e.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).where(F.col("_r") <= count).drop("_r")
+    return e.join(cover.fps(e, "vec_id", "embedding", "label", THETA).where("pick is not null").select("vec_id"), "vec_id", "left_semi")
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.nearest_representative(table(spark, d, "embeddings"), _first_ids(spark, d), "vec_id", "embedding", "label").where("rank = 1")
+    return similarity.nearest_representative(table(spark, d, "embeddings"), _cover(spark, d), "vec_id", "embedding", "label").where("rank = 1")
 
 
 @query
@@ -324,7 +325,7 @@ def fps_batched(spark, d):
 
 @query
 def rep_merge_components(spark, d):
-    near = similarity.radius_join(_first_ids(spark, d, 20), "vec_id", "embedding", "label", 0.42)
+    near = similarity.radius_join(_cover(spark, d), "vec_id", "embedding", "label", 0.42)
     merged = graph.connected_components(near.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return merged.groupBy("component").agg(F.count("*").alias("n")).select(F.col("component").alias("survivor"), "n")
 
@@ -343,7 +344,7 @@ def coverage_gate(spark, d):
 
 @query
 def rep_diversity_pairs(spark, d):
-    pairs = similarity.all_pairs(_first_ids(spark, d, 10), "vec_id", "embedding", "label")
+    pairs = similarity.all_pairs(_cover(spark, d), "vec_id", "embedding", "label")
     return metrics.diversity(pairs, "label").select("label", *(r6(c).alias(c) for c in ("diversity_mean_ani", "diversity_min_ani", "diversity_max_ani")), "diversity_n_pairs")
 
 
