@@ -456,3 +456,35 @@ words AS (
     ) WHERE open AND word IS NOT NULL
 ), {_signatures(256)}
 SELECT id AS doc_id, {_MD5} AS signature, n_real_bins::INT AS n_real_bins FROM sig"""
+
+_Q = 0.95**21
+_LEAST = _Q / (2 - _Q)
+
+ORACLE["derep_tiny_groups"] = f"""
+WITH RECURSIVE {_TEXTS}, {_base_words('d', 21)}, {_signatures(128)},
+items AS (
+    SELECT doc_id::VARCHAR AS accession, concat_ws(';s__', lang, concat_ws('-', source, (n_chars // 400)::VARCHAR)) AS grp, sig, list_transform(lows, lambda v: v IS NOT NULL) AS own, sig.n_real_bins AS filled
+    FROM documents JOIN sig ON sig.id = doc_id JOIN grid ON grid.id = doc_id
+), small AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY accession) AS r, count(*) OVER (PARTITION BY grp) AS n FROM items) WHERE n <= 20
+), pairs AS (
+    SELECT a.grp, a.r, b.r AS other, list_sum(list_transform(range(1, 129), lambda t: (a.sig[t] = b.sig[t])::INT)) / 128 AS share,
+           list_sum(list_transform(range(1, 129), lambda t: (a.sig[t] = b.sig[t] AND a.own[t])::INT)) / greatest(1, a.filled) AS part, a.filled > 0 AND a.filled < 64 AS sparse
+    FROM small a JOIN small b ON a.grp = b.grp AND a.r <> b.r
+), alike AS (
+    SELECT *, greatest(0, (share - 1.0::DOUBLE / 65536) / (1 - 1.0::DOUBLE / 65536)) AS j FROM pairs
+), covered AS (
+    SELECT grp, r, list(other) AS others FROM alike WHERE other < r AND CASE WHEN sparse THEN part ELSE j END >= {_LEAST!r}::DOUBLE GROUP BY grp, r
+), step(grp, r, chosen) AS (
+    SELECT grp, r, [r] FROM small WHERE r = 1
+    UNION ALL
+    SELECT s.grp, n.r, CASE WHEN list_has_any(coalesce(c.others, []), s.chosen) THEN s.chosen ELSE list_append(s.chosen, n.r) END
+    FROM step s JOIN small n ON n.grp = s.grp AND n.r = s.r + 1 LEFT JOIN covered c ON c.grp = n.grp AND c.r = n.r
+), last AS (SELECT grp, arg_max(chosen, r) AS chosen FROM step GROUP BY grp),
+near AS (
+    SELECT a.grp, a.r, a.other, a.j FROM (SELECT alike.*, row_number() OVER (PARTITION BY alike.grp, alike.r ORDER BY j DESC, other) AS place FROM alike JOIN last ON last.grp = alike.grp AND list_contains(chosen, other)) a WHERE place = 1
+)
+SELECT s.accession, s.grp AS taxonomy, CASE WHEN s.n = 1 THEN 'singleton' ELSE 'tiny' END AS method, list_contains(chosen, s.r) AS representative,
+       CASE WHEN list_contains(chosen, s.r) THEN s.accession ELSE o.accession END AS assigned_rep,
+       CASE WHEN list_contains(chosen, s.r) THEN 100.0::DOUBLE WHEN x.j > 0 THEN round(greatest(70, least(100, 100 * pow(2 * x.j / (1 + x.j), 1.0 / 21))), 6) ELSE 70 END AS ani_to_rep
+FROM small s JOIN last USING (grp) LEFT JOIN near x ON x.grp = s.grp AND x.r = s.r LEFT JOIN small o ON o.grp = x.grp AND o.r = x.other"""

@@ -575,6 +575,17 @@ def kmers_in_sql(spark, d):
     )
 
 
+@query
+def derep_tiny_groups(spark, d):
+    """A whole run over groups by language, source and length, as far as the groups are of up to 20 items: by greedy covers of sketches."""
+    docs = table(spark, d, "documents")
+    grp = F.concat_ws(";s__", "lang", F.concat_ws("-", "source", F.floor(F.col("n_chars") / 400).cast("string")))
+    items = docs.select(F.col("doc_id").cast("string").alias("accession"), grp.alias("taxonomy"), F.col("source").alias("file"), F.col("text").alias("payload"))
+    run = derep(items.drop("payload"), items.select("accession", "payload"), replace(TEXT, sketch_size=128))
+    of = run["results"].where("method in ('tiny', 'singleton')").select("taxonomy", "method")
+    return run["genomes_derep"].join(of, "taxonomy").select("accession", "taxonomy", "method", "representative", "assigned_rep", r6("ani_to_rep").alias("ani_to_rep"))
+
+
 @query
 def derep_large_groups(spark, d):
     """Selection by language, where groups of more than 500 items are dealt to many tasks."""
