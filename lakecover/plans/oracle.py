@@ -488,3 +488,19 @@ SELECT s.accession, s.grp AS taxonomy, CASE WHEN s.n = 1 THEN 'singleton' ELSE '
        CASE WHEN list_contains(chosen, s.r) THEN s.accession ELSE o.accession END AS assigned_rep,
        CASE WHEN list_contains(chosen, s.r) THEN 100.0::DOUBLE WHEN x.j > 0 THEN round(greatest(70, least(100, 100 * pow(2 * x.j / (1 + x.j), 1.0 / 21))), 6) ELSE 70 END AS ani_to_rep
 FROM small s JOIN last USING (grp) LEFT JOIN near x ON x.grp = s.grp AND x.r = s.r LEFT JOIN small o ON o.grp = x.grp AND o.r = x.other"""
+
+ORACLE["certification"] = f"""
+WITH {_TEXTS}, {_base_words('d', 21)}, {_signatures(256)},
+items AS (
+    SELECT doc_id, lang, sig, list_transform(lows, lambda v: v IS NOT NULL) AS own, sig.n_real_bins AS filled, ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS h
+    FROM documents JOIN sig ON sig.id = doc_id JOIN grid ON grid.id = doc_id
+), reps AS (SELECT i.* FROM items i JOIN (SELECT lang, count(*)::DOUBLE AS n, min(h) AS low FROM items GROUP BY lang) USING (lang) WHERE h <= greatest(100.0 / n, low)),
+pairs AS (
+    SELECT a.lang, a.doc_id, b.doc_id AS rep, list_sum(list_transform(range(1, 257), lambda t: (a.sig[t] = b.sig[t])::INT)) / 256 AS share,
+           list_sum(list_transform(range(1, 257), lambda t: (a.sig[t] = b.sig[t] AND a.own[t] AND b.own[t])::INT)) / greatest(1, least(a.filled, b.filled)) AS part, least(a.filled, b.filled) AS low, greatest(a.filled, b.filled) AS high
+    FROM items a JOIN reps b ON a.lang = b.lang AND a.doc_id <> b.doc_id
+), scored AS (SELECT *, greatest(0, (share - 1.0::DOUBLE / 65536) / (1 - 1.0::DOUBLE / 65536)) AS j FROM pairs),
+best AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, doc_id ORDER BY j DESC, rep) AS place FROM scored WHERE j >= {_LEAST!r}::DOUBLE OR (low > 0 AND 2 * low <= high AND part >= {_Q!r}::DOUBLE)
+)
+SELECT i.lang, i.doc_id, rep, round(j, 6) AS jaccard FROM items i LEFT JOIN best b ON b.doc_id = i.doc_id AND b.lang = i.lang AND place = 1"""

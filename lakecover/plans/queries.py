@@ -15,8 +15,8 @@ from ..functions import aggregates as A
 from ..functions import kernels as K
 from ..functions import registry
 from ..functions import scalar as S
-from ..operators import anomaly, calibrate, cells, certify, cover, graph, metrics, relational, similarity, sketch
-from ..operators.checkpoints import shared_folder
+from ..operators import anomaly, calibrate, cells, certify, cover, graph, metrics, postings, relational, similarity, sketch
+from ..operators.checkpoints import shared_folder, written
 from ..operators.embedding import Nystrom, anchor_count, draws_of, stratified_anchors
 from ..sources.buckets import BucketTable
 from ..sources.stores import SketchStore, Store
@@ -442,17 +442,10 @@ def nystrom_embedding(spark, d):
 
 @query
 def certification(spark, d):
-    named = _sketches(spark, d).join(table(spark, d, "documents").select("doc_id", F.concat_ws(";", "lang", "source").alias("grp")), "doc_id")
-
-    def check(t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.argsort(t["doc_id"].to_numpy())))
-        first = np.stack([np.frombuffer(s, "<u2") for s in t["signature"].to_pylist()])
-        real = np.stack([np.unpackbits(np.frombuffer(x, np.uint8), count=256, bitorder="little").astype(bool) for x in t["real"].to_pylist()])
-        n = len(t)
-        reps, who = certify.certify(first, real, np.array([0]), np.zeros(n, np.int64), np.zeros(n, bool), 0.95**21)
-        return pa.table({"grp": t["grp"], "doc_id": t["doc_id"], "representative": pa.array(np.isin(np.arange(n), reps)), "rep": t["doc_id"].combine_chunks().take(pa.array(who))})
-
-    return named.select("grp", "doc_id", "signature", "real").groupBy("grp").applyInArrow(check, "grp string, doc_id long, representative boolean, rep long")
+    """For every document the most similar of some hundred sampled ones of its language that certifies, by the inverted index of bins."""
+    named = written(_sketches(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").where("signature is not null"))
+    reps = written(cells.sampled(named, "doc_id", "lang", F.lit(100.0)).select(named.columns))
+    return postings.most_similar_certified(named, reps, "doc_id", "lang", 0.95**21, 256).select("lang", "doc_id", "rep", r6("jaccard").alias("jaccard"))
 
 
 # -- whole runs
