@@ -171,11 +171,11 @@ def bin_minima(items: DataFrame, id: str, text: str, k: int, bins: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, content in zip(batch[id], batch[text].to_pylist(), strict=True):
-                words, _, _ = words_of((content or "").encode(), k, 0, "text")
-                signature, real = K.one_permutation(words, bins)
-                at = np.flatnonzero(real)
-                yield pa.RecordBatch.from_pydict({id: pa.repeat(i, len(at)), "bin": pa.array(at, pa.int64()), "low": pa.array(signature[at].astype(np.int64))})
+            found = [K.one_permutation(words_of((content or "").encode(), k, 0, "text")[0], bins) for content in batch[text].to_pylist()]
+            at = [np.flatnonzero(real) for _, real in found]
+            rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
+            low = np.concatenate([signature[a] for (signature, _), a in zip(found, at, strict=True)]) if at else np.zeros(0)
+            yield pa.RecordBatch.from_pydict({id: batch[id].take(pa.array(rows)), "bin": pa.array(np.concatenate(at) if at else np.zeros(0), pa.int64()), "low": pa.array(low.astype(np.int64))})
 
     return items.select(id, text).mapInArrow(run, f"{id} {kinds[id]}, bin long, low long").groupBy(id, "bin").agg(F.min("low").alias("low"))
 
@@ -209,9 +209,11 @@ def bottom_sketches(items: DataFrame, id: str, text: str, k: int = 8, size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, content in zip(batch[id], batch[text].to_pylist(), strict=True):
-                h = K.bottom_sketch(K.shingle_words(content or "", k), size)
-                yield pa.RecordBatch.from_pydict({id: pa.repeat(i, len(h)), "rank": pa.array(np.arange(len(h)), pa.int32()), "hash": pa.array(h.view(np.int64))})
+            found = [K.bottom_sketch(K.shingle_words(content or "", k), size) for content in batch[text].to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(h) for h in found])
+            ranks = np.concatenate([np.arange(len(h)) for h in found]) if found else np.zeros(0)
+            hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_pydict({id: batch[id].take(pa.array(rows)), "rank": pa.array(ranks, pa.int32()), "hash": pa.array(hashes.astype(np.uint64).view(np.int64))})
 
     return items.select(id, text).mapInArrow(run, f"{id} {kinds[id]}, rank int, hash long")
 

@@ -137,6 +137,8 @@ def test_payload_files_of_every_kind(spark, tmp_path):
     got = {r.file.rsplit("/", 1)[1]: (r.payload and bytes(r.payload), bool(r.error)) for r in read_payloads(spark, str(tmp_path)).collect()}
     assert got == {"a.zst": (b">h\nAC GT\n", False), "b.gz": (b"ACGTN", False), "c.fa": (b">h\nAC\nGT\n", False), "d.gz": (None, True)}
     assert sequence_lengths(spark, str(tmp_path / "c.fa"), strict=True).first().genome_length == 4
+    (tmp_path / "head.fa").write_text(">h one\n>k\n")
+    assert sequence_lengths(spark, str(tmp_path / "head.fa"), strict=True).first().genome_length == 0
     (tmp_path / "bad.fa").write_text(">h\nAC!T\n")
     with pytest.raises(Exception, match="not a sequence"):
         sequence_lengths(spark, str(tmp_path / "bad.fa"), strict=True).collect()
