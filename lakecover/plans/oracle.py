@@ -1,6 +1,6 @@
 """The catalogue's queries as DuckDB SQL, where SQL can express them."""
 
-from ..functions.kernels import MURMUR_1, MURMUR_2, SEED_1, SPLITMIX_1, SPLITMIX_2, WY_0, WY_1
+from ..functions.kernels import MURMUR_1, MURMUR_2, PROJECT_1, PROJECT_2, SEED_1, SPLITMIX_1, SPLITMIX_2, WY_0, WY_1
 
 ORACLE: dict[str, str] = {}
 
@@ -408,11 +408,16 @@ SELECT label, round(theta, 6) AS theta, round(least(p5, theta / 4), 6) AS least
 _ALL = "18446744073709551616::UHUGEINT"
 
 
+def _splitmix(x: str) -> str:
+    """The 64-bit finaliser; each step is bound to a name by a list of one."""
+    first = f"list_transform([({x})::UHUGEINT], lambda x: xor(x, x // {1 << 30}::UHUGEINT) * {SPLITMIX_1}::UHUGEINT % {_ALL})"
+    second = f"list_transform({first}, lambda y: xor(y, y // {1 << 27}::UHUGEINT) * {SPLITMIX_2}::UHUGEINT % {_ALL})"
+    return f"list_transform({second}, lambda z: xor(z, z // {1 << 31}::UHUGEINT))[1]"
+
+
 def _filled(before: str, t: str) -> str:
     """An empty bin's value from its neighbour's: the upper half of the finaliser of the neighbour's value and the bin's number."""
-    first = f"list_transform([xor(({before})::UHUGEINT, ({t})::UHUGEINT)], lambda x: xor(x, x // {1 << 30}::UHUGEINT) * {SPLITMIX_1}::UHUGEINT % {_ALL})"
-    second = f"list_transform({first}, lambda y: xor(y, y // {1 << 27}::UHUGEINT) * {SPLITMIX_2}::UHUGEINT % {_ALL})"
-    return f"list_transform({second}, lambda z: (xor(z, z // {1 << 31}::UHUGEINT) // {1 << 32}::UHUGEINT)::UHUGEINT)[1]"
+    return f"({_splitmix(f'xor(({before})::UHUGEINT, ({t})::UHUGEINT)')} // {1 << 32}::UHUGEINT)"
 
 
 def _signatures(bins: int) -> str:
@@ -504,3 +509,16 @@ best AS (
     SELECT *, row_number() OVER (PARTITION BY lang, doc_id ORDER BY j DESC, rep) AS place FROM scored WHERE j >= {_LEAST!r}::DOUBLE OR (low > 0 AND 2 * low <= high AND part >= {_Q!r}::DOUBLE)
 )
 SELECT i.lang, i.doc_id, rep, round(j, 6) AS jaccard FROM items i LEFT JOIN best b ON b.doc_id = i.doc_id AND b.lang = i.lang AND place = 1"""
+
+ORACLE["countsketch_projection"] = f"""
+WITH {_TEXTS}, {_base_words('d', 21)}, {_signatures(256)},
+each_ AS (SELECT id, unnest(sig)::UHUGEINT AS value, unnest(range(256))::UHUGEINT AS t FROM sig),
+votes AS (
+    SELECT id, ({_splitmix(f"(value + t * {PROJECT_1}::UHUGEINT % {_ALL}) % {_ALL}")} % 64::UHUGEINT)::INT AS place,
+           sum(CASE WHEN {_splitmix(f"(value + t * {PROJECT_2}::UHUGEINT % {_ALL}) % {_ALL}")} % 2::UHUGEINT = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM each_ GROUP BY ALL
+), vectors AS (SELECT id, place, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT AS x FROM votes),
+named AS (SELECT id, sig, concat_ws(';', lang, source) AS grp FROM sig JOIN documents ON doc_id = id),
+pairs AS (SELECT a.grp, a.id AS a, b.id AS b, list_sum(list_transform(range(1, 257), lambda t: (a.sig[t] = b.sig[t])::INT)) / 256 AS share FROM named a JOIN named b ON a.grp = b.grp AND a.id < b.id),
+alike AS (SELECT * FROM (SELECT *, greatest(0, (share - 1.0::DOUBLE / 65536) / (1 - 1.0::DOUBLE / 65536)) AS j FROM pairs) WHERE j > 0.05)
+SELECT grp, a, b, round(j, 6) AS jaccard, round(sum(coalesce(v.x::DOUBLE * w.x::DOUBLE, 0)), 6) AS estimate
+FROM alike JOIN vectors v ON v.id = a LEFT JOIN vectors w ON w.id = b AND w.place = v.place GROUP BY grp, a, b, j"""

@@ -403,14 +403,20 @@ def containment_search(spark, d):
 
 @query
 def countsketch_projection(spark, d):
-    rows = _sketches(spark, d).select("doc_id", "signature")
+    """What projections say of the similarity of the pairs of a language's source that are alike, beside what their sketches say."""
+    sketches = _sketches(spark, d).join(table(spark, d, "documents").select("doc_id", F.concat_ws(";", "lang", "source").alias("grp")), "doc_id")
+    rows = sketches.where("signature is not null").select("doc_id", "signature")
 
     def project(batches):
         for batch in batches:
-            norm = [float(np.abs(K.count_sketch(np.frombuffer(s, "<u2"), 64)).sum()) for s in batch["signature"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "l1": pa.array(norm)})
-
-    return rows.mapInArrow(project, "doc_id long, l1 double").select("doc_id", r6("l1").alias("l1"))
+            vectors = [K.count_sketch(np.frombuffer(s, "<u2"), 64) for s in batch["signature"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(vectors, pa.list_(pa.float32()))], ["doc_id", "v"])
+
+    vectors = rows.mapInArrow(project, "doc_id long, v array<float>")
+    pairs = sketch.sketch_pairs(sketches, "doc_id", "grp").where("jaccard > 0.05")
+    side = lambda name: vectors.select(F.col("doc_id").alias(name), F.col("v").alias(f"v{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("grp", "a", "b", r6("jaccard").alias("jaccard"), r6(S.dot(F.col("va"), F.col("vb"))).alias("estimate"))
 
 
 @query
