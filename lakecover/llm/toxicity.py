@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .exchange import written
 from .text import ALNUM_SEPARATORS, SPACE_SEPARATORS, Words, buffers, chunks, covered, row_sums
 
+FOLDS = 4
 SAMPLE_ROWS = 8_000  # labelled rows that the lexicon and the trees are fitted on, at most
 LEXICON_UNITS = 256
 LEAST_EVIDENCE = 30.0  # of a log-likelihood ratio
@@ -211,39 +212,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     The bound makes lexicon, trees and calibration a fixed amount of work on the driver; scoring
     covers every row. Rows of ``labels(doc_id, toxic)`` with null are ignored, of several for an
     id the largest counts, and of several texts of an id the smallest: no id counts twice, so the
-    bound holds whatever repeats. Calibration uses scores of trees that did not see the row.
+    bound holds whatever repeats. Calibration uses scores of lexicons and trees that did not see the row.
     """
     rows = labels.where("doc_id is not null and toxic is not null")
     rows = (rows.where(usable) if usable is not None else rows).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    once = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = written(once.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")))
+    lexicon = _lexicon(sample)
+    x, y, fold = _described(sample, lexicon)
+    base = float((y.sum() + 0.5) / (len(y) + 1))
+    if len(y) < 20 or not 0 < y.sum() < len(y):
+        return ToxicityModel(lexicon, None, (np.zeros(1), np.zeros(1)), min(base, 1.0))
+    out = np.zeros(len(y))
+    for k in range(FOLDS):
+        own = fold == k
+        if own.any() and y[~own].sum():
+            seen, _, _ = _described(sample, _lexicon(sample.where(F.col("fold") != k)))
+            out[own] = BoostedTrees().fit(seen[~own], y[~own]).margin(seen[own])
+    return ToxicityModel(lexicon, BoostedTrees().fit(x, y), isotonic(out, y), base)
+
+
+def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     learned = learn_lexicon(sample)
     keys = np.array(list(learned), np.int64).view(np.uint64)
     by = np.argsort(keys)
-    lexicon = keys[by], np.array(list(learned.values()))[by]
-    lexicon = lexicon[0], lexicon[1].astype(float)
+    return keys[by], np.array(list(learned.values()))[by].astype(float)
+
+
+def _described(sample: DataFrame, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and folds of the sample's rows in order of doc_id."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch["text"])
             for i, j in chunks(offsets):
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lexicon)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"][i:j], "toxic": batch["toxic"][i:j], "x": pa.array(list(x), pa.list_(pa.float64()))})
+                yield pa.RecordBatch.from_pydict({c: batch[c][i:j] for c in ("doc_id", "toxic", "fold")} | {"x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    table = sample.mapInArrow(describe, "doc_id long, toxic int, x array<double>").toArrow()
+    table = sample.mapInArrow(describe, "doc_id long, toxic int, fold int, x array<double>").toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    y = table["toxic"].to_numpy()[order].astype(float)
-    base = float((y.sum() + 0.5) / (len(y) + 1))
-    if len(y) < 20 or not 0 < y.sum() < len(y):
-        return ToxicityModel(lexicon, None, (np.zeros(1), np.zeros(1)), min(base, 1.0))
-    x = np.array(table["x"].to_pylist())[order]
-    fold = np.arange(len(y)) % 4
-    out = np.zeros(len(y))
-    for k in range(4):
-        rest = fold != k
-        out[~rest] = BoostedTrees().fit(x[rest], y[rest]).margin(x[~rest]) if y[rest].sum() else 0
-    return ToxicityModel(lexicon, BoostedTrees().fit(x, y), isotonic(out, y), base)
+    x = np.array(table["x"].to_pylist())[order] if len(order) else np.zeros((0, 1))
+    return x, table["toxic"].to_numpy()[order].astype(float), table["fold"].to_numpy()[order]
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -311,3 +311,21 @@ def test_rows_of_one_text_meet_after_the_join(spark):
     assert plan.index("Generate explode") < plan.index("Join Inner")
     rows = table.collect()
     assert len(rows) == 600 and len({r.digest for r in rows}) == 4 and Counter(r.doc_id for r in rows) == Counter(range(600))
+
+
+def test_calibration_sees_no_row_of_its_fold(spark, monkeypatch):
+    from lakecover.llm import toxicity as T
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(12)) + rng.choice((" vile fool", " fool vile") if i % 3 == 0 else (" nice poet", " ppp qqqq")), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen, plain = [], T.learn_lexicon
+    monkeypatch.setattr(T, "learn_lexicon", lambda sample: seen.append({r.doc_id for r in sample.select("doc_id").collect()}) or plain(sample))
+    model = T.fit_toxicity(docs.drop("toxic"), docs.drop("text"))
+    everything = set(range(300))
+    assert seen[0] == everything and len(seen) == 1 + T.FOLDS
+    left = [everything - s for s in seen[1:]]
+    assert sum(map(len, left)) == 300 and set().union(*left) == everything
+    fresh = spark.createDataFrame([(1, "aaa bbb " * 6 + "vile fool"), (2, "aaa bbb " * 6 + "nice poet")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in T.toxicity(fresh, model).collect()}
+    assert got == {1: 1, 2: 0}
