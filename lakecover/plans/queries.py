@@ -622,10 +622,10 @@ def ann_recall(spark, d):
     probes = index.tuned_probes(5)
     exact = similarity.knn(rows, "vec_id", "embedding", "grp", 5).select("src", "dst")
     hits = exact.join(index.search(rows, 5, probes).select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
-    share = index.compared(rows, probes).select((F.col("n_compared") / F.lit(rows.count()) ** 2).alias("cost"))
+    cost = index.compared(rows, probes).first()["n_compared"] / rows.count() ** 2
     found = hits.join(rows.select(F.col("vec_id").alias("src"), "label"), "src").groupBy("label").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
-    overall = hits.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    return found.crossJoin(F.broadcast(overall)).crossJoin(F.broadcast(share)).select("label", "n_true", "n_found", r6("recall").alias("recall"), F.lit(probes).alias("probes"), r6("cost").alias("cost"))
+    recall = hits.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]
+    return found.select("label", "n_true", "n_found", F.lit(round(recall, 6)).alias("recall"), F.lit(probes).alias("probes"), F.lit(round(cost, 6)).alias("cost"))
 
 
 @query
