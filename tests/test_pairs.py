@@ -75,3 +75,18 @@ def test_a_task_makes_its_pairs_in_batches(spark):
     df = spark.range(2000).select("id", F.lit(0).alias("g"), F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
     sizes = similarity.close_pairs(df, "id", "v", "g").mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
     assert sum(r.n for r in sizes) == 2000 * 1999 // 2 and max(r.n for r in sizes) <= similarity.PAIRS
+
+
+@pytest.mark.parametrize("block", [5, 8192])
+def test_sketch_pairs_by_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(sketch, "PAIRS", 60)
+    rng = np.random.default_rng(5)
+    s = rng.integers(0, 1 << 16, (60, 64)).astype("<u2")
+    for i in range(20, 60):  # a quarter of the bins of another; the last are copies
+        s[i, :16] = s[i - 20, :16]
+    s[50:] = s[40]
+    df = spark.createDataFrame([(i, f"g{i % 3}", bytes(s[i].tobytes())) for i in range(60)] + [(60, "g0", None)], "id long, g string, signature binary")
+    j = K.jaccard_matrix(s, s)
+    for over in (None, 0.0, 0.05, 0.9):
+        want = sorted((f"g{a % 3}", a, b, j[a, b]) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and (over is None or j[a, b] > over))
+        assert sorted(map(tuple, sketch.sketch_pairs(df, "id", "g", over, block).collect())) == want
