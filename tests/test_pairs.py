@@ -90,3 +90,12 @@ def test_sketch_pairs_by_blocks(spark, block, monkeypatch):
     for over in (None, 0.0, 0.05, 0.9):
         want = sorted((f"g{a % 3}", a, b, j[a, b]) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and (over is None or j[a, b] > over))
         assert sorted(map(tuple, sketch.sketch_pairs(df, "id", "g", over, block).collect())) == want
+
+
+def test_all_pairs_count_for_diversity(spark):
+    """More pairs than ``sampled_pairs`` draws: their spread is that of all of them."""
+    n = metrics.MOST_PAIRS + 500
+    pairs = spark.range(n).select(F.lit("x").alias("g"), F.col("id").alias("a"), (F.col("id") + n).alias("b"), (F.col("id") / (2.5 * n)).alias("dist"))
+    row = metrics.diversity(pairs, "g").first()
+    want = spark.range(1).select(*(metrics.distance_to_ani(F.lit(x), 21) for x in ((n - 1) / 2 / (2.5 * n), (n * 95 // 100) / (2.5 * n), (n * 5 // 100) / (2.5 * n)))).first()
+    assert row.diversity_n_pairs == n and np.allclose([row.diversity_mean_ani, row.diversity_min_ani, row.diversity_max_ani], list(want))
