@@ -53,3 +53,20 @@ def test_neighbours_are_taken_few_products_at_a_time(monkeypatch):
         monkeypatch.setattr(module, "PRODUCTS", 3000)
     assert all(np.array_equal(a, b) for a, b in zip(derep.nearest(near, 300, 7), whole, strict=True)) and max(sizes) == 10
     assert np.array_equal(cover.merge_close(reps, v, 0.1), merged) and all(np.array_equal(a, b) for a, b in zip(cover.assign(v, reps), assigned, strict=True))
+
+
+def test_passing_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    from lakecover.operators.checkpoints import passing, written
+
+    there = lambda df: all(os.path.exists(f.removeprefix("file://")) for f in df)
+    with passing(spark) as keep:
+        inner = written(spark.range(5)).inputFiles()
+        with passing(spark) as keep_in:
+            deep = written(spark.range(3)).inputFiles()
+            middle = keep_in(spark.range(4))
+        assert not there(deep[:1]) and middle.count() == 4
+        kept = keep(middle)
+    assert not there(inner[:1]) and not there(middle.inputFiles()[:1]) and kept.count() == 4
+    assert there(written(spark.range(2)).inputFiles())
