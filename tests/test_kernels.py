@@ -155,3 +155,22 @@ def test_identity_curve_is_monotone():
     curve = calibrate.IdentityCurve().fit(x, 0.7 + 0.3 * x)
     low, mid, high = curve.predict(x)
     assert (low <= mid).all() and (mid <= high).all() and curve.least_similarity(0.9) <= curve.safe_similarity(0.9)
+
+
+def test_a_stack_of_signatures_is_filled_at_once(monkeypatch):
+    rng, steps = np.random.default_rng(3), []
+    stack = rng.integers(0, 1 << 32, (50, 64), dtype=np.uint64).astype(np.uint32)
+    stack[rng.random(stack.shape) < rng.random((50, 1))] = K.EMPTY
+    stack[7] = K.EMPTY
+    want = [K.densify(row).tolist() for row in stack]
+    fill = K._fill
+    monkeypatch.setattr(K, "_fill", lambda x: steps.append(1) or fill(x))
+    assert K.densify(stack).tolist() == want
+    assert len(steps) <= 2 * 64  # not one step a bin of each row
+
+
+def test_syncmers_across_breaks():
+    seq = "N" + sequence(60, 5) + "NN" + sequence(12, 6) + "N" + sequence(90, 7)
+    parts = [K.syncmers(K.base_codes(p.encode())[0], 11, 6).tolist() for p in seq.split("N")]
+    assert K.syncmers(K.base_codes(seq.encode())[0], 11, 6).tolist() == sum(parts, [])
+    assert K.distinct(np.array([3, 1, 3, 2, 1], np.uint64)).tolist() == [1, 2, 3] and not len(K.distinct(np.zeros(0, np.uint64)))
