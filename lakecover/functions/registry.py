@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +46,15 @@ def upper_median(v: pd.Series) -> float:
     return float(known[len(known) // 2]) if len(known) else None
 
 
-class Kmers:
-    """Table function ``kmers(text, k)``: the distinct canonical words of k bases, as ``words_relational`` makes them; also in lateral joins."""
+def kmer_words(text: pa.Array, k: pa.Array) -> pa.Array:
+    """The distinct canonical words of k bases of each text, as ``words_relational`` makes them."""
+    words = [K.distinct(K.canonical_kmers(K.base_codes(K.text_as_bases(t.as_py() or ""))[0], n.as_py())).view(np.int64) for t, n in zip(text, k, strict=True)]
+    ends = np.cumsum([0, *(len(w) for w in words)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)))
 
-    def eval(self, text: str, k: int) -> Iterator[tuple[int]]:
-        codes, _, _ = K.base_codes(K.text_as_bases(text or ""))
-        yield from zip(np.unique(K.canonical_kmers(codes, k)).astype(np.uint64).view(np.int64).tolist(), strict=True)
 
+#: Table function ``kmers(text, k)``: a row for each of the words, also in lateral joins. Words leave Python as arrays, so no row of them is made there.
+KMERS = "CREATE OR REPLACE TEMPORARY FUNCTION kmers(text STRING, k INT) RETURNS TABLE (word BIGINT) RETURN SELECT explode(kmer_words(text, k))"
 
 FUNCTIONS: dict[str, tuple[Callable, str]] = {
     "jaccard_ani": (jaccard_ani, "double"), "angular_distance": (angular_distance, "double"), "signature_jaccard": (signature_jaccard, "double"), "fnv1a": (fnv1a, "string"),
@@ -63,5 +66,6 @@ def register(spark: SparkSession) -> list[str]:
     for name, (f, kind) in FUNCTIONS.items():
         spark.udf.register(name, F.pandas_udf(f, kind))
     spark.udf.register("upper_median", F.pandas_udf(upper_median, "double"))
-    spark.udtf.register("kmers", F.udtf(Kmers, returnType="word bigint", useArrow=True))
+    spark.udf.register("kmer_words", F.arrow_udf(kmer_words, "array<bigint>"))
+    spark.sql(KMERS)
     return [*FUNCTIONS, "upper_median", "kmers"]

@@ -7,6 +7,7 @@ import pytest
 
 from lakecover.functions import registry
 from lakecover.functions.kernels import jaccard_16
+from lakecover.operators.sketch import words_relational
 from lakecover.sources.buckets import BucketTable
 from lakecover.streaming import state
 
@@ -67,3 +68,15 @@ def test_functions_in_sql(spark):
     row = spark.sql("SELECT jaccard_ani(0.5D, 21) AS a, angular_distance(array(1f, 0f), array(0f, 1f)) AS d, fnv1a('a') AS f, signature_jaccard(X'01000200', X'01000200') AS j").first()
     assert row.a == pytest.approx(100 * (2 * 0.5 / 1.5) ** (1 / 21)) and row.d == pytest.approx(0.5) and row.j == 1.0
     assert spark.sql("SELECT upper_median(v) AS m FROM VALUES (1D), (5D), (3D), (NULL), (2D) t(v)").first().m == 3.0
+
+
+def test_words_of_texts_in_a_lateral_join(spark):
+    """Words leave Python as one array a batch of texts, not as rows; a text without words has no row."""
+    registry.register(spark)
+    rows = spark.createDataFrame([(1, "abcdabcd"), (2, ""), (3, None), (4, "ab1cd"), (5, "hello hello world")], "id int, text string")
+    rows.createOrReplaceTempView("few_texts")
+    joined = spark.sql("SELECT t.id, k.word FROM few_texts t, LATERAL kmers(t.text, 3) k")
+    want = {(r.id, r.word) for r in words_relational(rows.where("length(text) >= 3"), "id", "text", 3).collect()}
+    got = [(r.id, r.word) for r in joined.collect()]
+    assert set(got) == want and len(got) == len(want) and {i for i, _ in got} == {1, 5}
+    assert "ArrowEvalPythonUDTF" not in joined._jdf.queryExecution().executedPlan().toString()
