@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import BLOB, blob_table, bounded_batches, pack_shards, part_count, squeezed, text_bytes, unsqueezed
-from .text import SPACE_SEPARATORS, Words, buffers, covered, row_sums, windows
+from .text import SPACE_SEPARATORS, Words, buffers, chunks, covered, row_sums, windows
 
 PERIOD = 7
 COVER = (1, 2, 4)  # each difference modulo 7 is a difference of two of these
@@ -87,21 +87,23 @@ def _bits(table: pa.Table, keys: np.ndarray, shards: int) -> np.ndarray:
     return told
 
 
-def _kept(part: _Part, removed: np.ndarray) -> tuple[list[str], list[str]]:
-    """Kept words joined by one space, and their SHA-256, for each document."""
-    words, n = part.words, len(part.words.data)
-    keep = covered(words.start[~removed], (words.end - words.start)[~removed], n)
-    kept_rows = part.row[~removed]
-    last = np.ones(len(kept_rows), bool)
-    last[:-1] = kept_rows[1:] != kept_rows[:-1]
-    joint = words.end[~removed][~last]
-    data = words.data.copy()
-    data[joint] = 0x20
-    keep[joint] = True
-    at = np.concatenate([[0], np.cumsum(keep)])[words.offsets]
-    out = data[keep].tobytes()
-    texts = [out[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-    return [t.decode("utf-8", "replace") for t in texts], [hashlib.sha256(t).hexdigest() for t in texts]
+def _kept(part: _Part, removed: np.ndarray, texts: bool) -> tuple[list[str], list[str]]:
+    """Kept words joined by one space, if ``texts`` are asked for, and their SHA-256, for each document; what has a number for each byte is made for few rows at a time."""
+    words, whole, digests = part.words, [], []
+    for first, last in chunks(words.offsets):
+        base, stay = words.offsets[first], words.first[first] + np.flatnonzero(~removed[words.first[first] : words.first[last]])
+        data = words.data[base : words.offsets[last]].copy()
+        start, end, row = words.start[stay] - base, words.end[stay] - base, part.row[stay]
+        keep = covered(start, end - start, len(data))
+        joint = end[:-1][row[1:] == row[:-1]]
+        data[joint] = 0x20
+        keep[joint] = True
+        at = np.concatenate([[0], np.cumsum(keep)])[words.offsets[first : last + 1] - base]
+        out = data[keep].tobytes()
+        pieces = [out[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        digests += [hashlib.sha256(t).hexdigest() for t in pieces]
+        whole += [t.decode("utf-8", "replace") for t in pieces] if texts else []
+    return whole, digests
 
 
 def substring_dedup(docs: DataFrame, length: int = 13, texts: bool = True) -> DataFrame:
@@ -157,7 +159,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, texts: bool = True) -> Da
             np.minimum.at(low, inverse, owner)
             hit = _bits(second, keys, count)[inverse] | (low[inverse] < owner)
             removed = covered(at[hit], length, len(part.hash))
-            text, digest = _kept(part, removed)
+            text, digest = _kept(part, removed, texts)
             counts, gone = part.words.counts, row_sums(removed.astype(np.int64), part.words.first)
             doc_id = docs_table["doc_id"]
         else:
