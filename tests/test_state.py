@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import types as T
 
 from lakecover.functions import registry
 from lakecover.functions.kernels import jaccard_16
@@ -80,3 +82,31 @@ def test_words_of_texts_in_a_lateral_join(spark):
     got = [(r.id, r.word) for r in joined.collect()]
     assert set(got) == want and len(got) == len(want) and {i for i, _ in got} == {1, 5}
     assert "ArrowEvalPythonUDTF" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_key_asks_its_state_once():
+    calls, kept = [], {}
+
+    class Value:
+        def exists(self):
+            calls.append("exists")
+            return "v" in kept
+
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, row):
+            calls.append("update")
+            kept["v"] = row
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Value()
+
+    keep = state.LastRow(T._parse_datatype_string("user long, at long, what string"), "at")
+    keep.init(Handle())
+    seen = lambda *rows: [tuple(r) for r in keep.handleInputRows((1,), iter([Row("user", "at", "what")(*r) for r in rows]), None)]
+    assert seen((1, None, "a"), (1, 3, "b"), (1, 2, "c")) == [(1, 3, "b")] and calls == ["get", "update"] and kept["v"] == (1, 3, "b")
+    calls.clear()
+    assert seen((1, 3, "d"), (1, None, "e")) == [] and calls == ["get"]
